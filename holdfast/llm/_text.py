@@ -111,10 +111,10 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     short = np.flatnonzero((lengths > 0) & (lengths < k))
     keep[at[short]] = True
     for i in short:
-        h = U64(int(lengths[i]))
-        for w in words[at[i] : at[i + 1]]:
-            h = np.multiply(h + w, _R, dtype=U64)
-        rolled[at[i]] = h
+        h = np.array([lengths[i]], dtype=U64)
+        for w in range(at[i], at[i + 1]):
+            h = (h + words[w : w + 1]) * _R
+        rolled[at[i]] = h[0]
     return mix64(rolled[keep]), out_at
 
 
