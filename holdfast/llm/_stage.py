@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,9 @@ class Stages:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        # The shuffle files of a finished step go when the driver finds its plan unused, which may be long after.
+        gc.collect()
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
