@@ -9,6 +9,7 @@ from holdfast.llm.decontaminate import find_contained
 from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.minhash_dedup import minhash_dedup
 from holdfast.llm.quality import quality_classifier
+from holdfast.llm.secrets import secret_scan
 from holdfast.llm.sharding import assign_shards
 
 
@@ -36,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(spark, table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
