@@ -12,6 +12,7 @@ the filters are tabulated by byte pairs, so that a window costs WIDTH / 2 look-u
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from holdfast.llm import _text as X
 
 WIDTH, FILTERS, CHUNK, HIDDEN = 6, 16, 64, 16
-LOW = np.float32(-1e30)
+#: Below this score a document is rejected.  Most labelled rows and bytes of a text that training sees.
+THRESHOLD, MAX_ROWS, MAX_BYTES = 0.3, 4096, 1 << 17
 _SCORED_BYTES = 1 << 18
 
 
@@ -160,7 +162,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes:
     return [t.encode() for t in found["text"]], found["y"].to_numpy(np.float64)
 
 
-def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 4096, max_bytes: int = 1 << 17, text: str = "text", key: str = "doc_id") -> DataFrame:
+@dataclass
+class Scorer:
+    """A trained network, or with fewer than two classes to learn from one score for all."""
+
+    net: ByteNet | None
+    share: float
+
+    @classmethod
+    def trained(cls, docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, text: str, key: str) -> Scorer:
+        texts, y = training_rows(docs, labels, max_rows, max_bytes, text, key)
+        mixed = len(set(y.tolist())) > 1
+        return cls(ByteNet().fit(texts, y) if mixed else None, (float(y.sum()) + 1) / (len(y) + 2))
+
+    def scores(self, column: pa.Array, tables: list[np.ndarray]) -> np.ndarray:
+        if self.net is None or not len(column):
+            return np.full(len(column), self.share)
+        return self.net.scores(*X.utf8(column), tables)
+
+    def tables(self) -> list[np.ndarray]:
+        return self.net.tables() if self.net else []
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Labels are learnt only where crc32(key as text) mod 5 is not 0, from at most
@@ -168,22 +192,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame,
     a key the largest counts.  Every row is scored on its whole text; null counts
     as empty.  With fewer than two classes to learn from, the score is the
     smoothed share of label 1 (0.5 without labels).  A null key is not held out.
-    Other columns are never read.
+    Other columns are never read.  No rows give no rows.
     """
-    texts, y = training_rows(docs, labels, max_rows, max_bytes, text, key)
+    scorer = Scorer.trained(docs, labels, max_rows, max_bytes, text, key)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if len(set(y.tolist())) < 2:
-        scored = rows.select("doc_id", F.lit((float(y.sum()) + 1) / (len(y) + 2)).alias("score"))
-    else:
-        net = ByteNet().fit(texts, y)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = net.tables()
-            for batch in batches:
-                if batch.num_rows:
-                    score = net.scores(*X.utf8(batch.column(1)), tables)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
-
-        scored = rows.mapInArrow(run, "doc_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = scorer.tables()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1), tables))], ["doc_id", "score"])
+
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without the rows that quality_classifier rejects; all columns as they are, nothing shuffled."""
+    scorer = Scorer.trained(docs, labels, max_rows, max_bytes, text, key)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = scorer.tables()
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(at), tables) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
