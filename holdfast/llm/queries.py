@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from holdfast.llm.bpe import encode_decode
 from holdfast.llm.decontaminate import find_contained
 from holdfast.llm.exact_dedup import exact_dedup
+from holdfast.llm.line_dedup import removed_lines
 from holdfast.llm.minhash_dedup import minhash_dedup
 from holdfast.llm.quality import quality_classifier
 from holdfast.llm.secrets import secret_scan
@@ -49,6 +51,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = removed_lines(spark, table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -57,6 +64,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,4 +99,22 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(t) AS text_sha256
         FROM low WINDOW w AS (PARTITION BY t)""",
+    "op9_line_dedup": f"""
+        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM docs),
+        worded AS (SELECT doc_id, line_no, list_sort(list_distinct({_WORDS.format("lower(line)")})) AS w FROM lines),
+        classes AS (SELECT w, min((doc_id, line_no)) AS first FROM worded WHERE len(w) > 0 GROUP BY w),
+        tokens AS (SELECT first, len(w) AS n, unnest(w) AS t FROM classes),
+        rare AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
+        placed AS (SELECT first, n, t, row_number() OVER (PARTITION BY first ORDER BY c, t) AS p FROM tokens JOIN rare USING (t)),
+        prefix AS (SELECT * FROM placed WHERE p <= n - ceil(0.8 * n) + 1),
+        pairs AS (SELECT DISTINCT a.first AS x, b.first AS y FROM prefix a JOIN prefix b ON a.t = b.t AND a.first < b.first
+                  AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+        gone AS (SELECT DISTINCT y FROM pairs JOIN classes p ON p.first = x JOIN classes q ON q.first = y
+                 WHERE 100 * len(list_intersect(p.w, q.w)) >= 80 * (len(p.w) + len(q.w) - len(list_intersect(p.w, q.w)))),
+        judged AS (SELECT doc_id, line_no, coalesce(first < (doc_id, line_no) OR y IS NOT NULL, false) AS goes
+                   FROM worded LEFT JOIN classes USING (w) LEFT JOIN gone ON y = first)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed,
+               coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (goes), '') AS removed
+        FROM judged GROUP BY doc_id""",
 }
