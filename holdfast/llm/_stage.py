@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -37,15 +37,18 @@ class Stages:
         self.count = 0
 
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        self.release()
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        # The shuffle files of a finished step go when the driver finds its plan unused, which may be long after.
+        return out
+
+    def release(self) -> None:
+        """Lets the shuffle files of finished steps go: the driver drops them once it finds their plans unused."""
         gc.collect()
         self.spark._jvm.System.gc()
-        return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
@@ -57,25 +60,24 @@ class Stages:
 def components(stages: Stages, edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): a row (node, root) for each node, root its least node.
 
-    Alternating large-star and small-star steps: each is a grouped minimum with
-    map-side combining and a join, so that a node of very many edges is never
-    gathered in one task.  About log(n) rounds, each written to a table.
+    Alternating large-star and small-star steps over pairs (v, m) with m < v.
+    The large star hangs v under the least neighbour of m: a grouped minimum with
+    map-side combining, and a join that splits a hot m.  The small star hangs v
+    and its lesser neighbours under the least of these.  About log(n) rounds of
+    three shuffles, each written to a table.
     """
-    star = stages.keep(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct())
-    before = None
-    while True:
-        both = star.unionByName(star.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = both.groupBy("v").agg(F.least(F.min("m"), F.first("v")).alias("r"))
-        large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("r").alias("m")).where("v <> m")
-        down = large.unionByName(star.join(least, "v").where("r < v").select("v", F.col("r").alias("m"))).distinct()
-        low = down.groupBy("v").agg(F.min("m").alias("r"))
-        small = down.join(low, "v").where("m <> r").select(F.col("m").alias("v"), F.col("r").alias("m")).unionByName(low.select("v", F.col("r").alias("m")))
-        after = stages.keep(small.where("v <> m").distinct())
-        sign = after.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(20,0)"))).first()
+    pairs = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m")
+    star = stages.keep(pairs.distinct())
+    changed = not star.isEmpty()
+    while changed:
+        low = star.groupBy("v").agg(F.min("m").alias("r")).select(F.col("v").alias("m"), "r")
+        large = star.join(low, "m", "left").select("v", F.coalesce("r", "m").alias("m"), F.col("r").isNotNull().alias("moved"))
+        down = large.repartition("v").groupBy("v", "m").agg(F.max("moved").alias("moved"))
+        least = down.withColumn("r", F.min("m").over(Window.partitionBy("v"))).withColumn("moved", F.col("moved") | (F.col("m") != F.col("r")))
+        both = least.select(F.explode(F.array(F.struct("v", F.col("r").alias("m"), "moved"), F.struct(F.col("m").alias("v"), F.col("r").alias("m"), "moved"))).alias("x")).select("x.*").where("v <> m")
+        seen = Observation()
+        after = stages.keep(both.observe(seen, F.max(F.col("moved").cast("int")).alias("moved")).select("v", "m"))
         stages.drop(star)
-        star = after
-        if sign == before:
-            break
-        before = sign
-    roots = star.select("m").distinct().select(F.col("m").alias("node"), F.col("m").alias("root"))
-    return star.select(F.col("v").alias("node"), F.col("m").alias("root")).unionByName(roots)
+        star, changed = after, bool(seen.get["moved"])
+    star = star.distinct()
+    return stages.keep(star.select(F.col("v").alias("node"), F.col("m").alias("root")).unionByName(star.select(F.col("m").alias("node"), F.col("m").alias("root"))).distinct())

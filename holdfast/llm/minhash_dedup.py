@@ -8,10 +8,10 @@ values.  Where few sets share a prefix that means all of them; where many do,
 the neighbours share longer prefixes, so that the depth adapts to the region.
 
 Candidates are confirmed on full shingle sets, best estimates first, and
-confirmed links are joined into components.  In a region with more sets than the
-window reaches, sets outside the region's largest component are then compared
-with all sets of the region in blocks: no partner is out of reach for being one
-of many.
+confirmed links are joined into components; other candidates are confirmed where
+they would still join two.  In a region with more sets than the window reaches,
+sets outside the region's largest component are compared with all sets of the
+region in blocks: no partner is out of reach for being one of many.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from holdfast.llm._stage import Stages, components
 TREES, DEPTH, LEAST_DEPTH, WINDOW = 16, 8, 3, 4
 #: Confirm candidates whose estimate is at most this far below the threshold: five standard errors of 128 values.
 SLACK = 0.18
+#: Candidates of each set to confirm before components are looked at for the first time.
+FIRST = 2
 #: Sets in a block of the comparison in large regions.
 BLOCK = 256
 
@@ -249,24 +251,23 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     )
     # The texts of one row of each class that is in question.
     asked = likely.select(F.col("a").alias("id")).union(likely.select("b")).union(marks.where("kind = 1").select("a")).distinct()
-    texts = stages.keep(rows.join(asked, rows.doc_id == asked.id, "left_semi").dropDuplicates(["doc_id", "text"]).select(F.col("doc_id").alias("id"), "text"))
+    # The same join at every size: what is asked grows with the input.
+    texts = stages.keep(rows.join(asked.hint("merge"), rows.doc_id == asked.id, "left_semi").dropDuplicates(["doc_id", "text"]).select(F.col("doc_id").alias("id"), "text"))
 
     def confirmed(some: DataFrame) -> DataFrame:
-        wide = some.join(texts.select(F.col("id").alias("a"), "text"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+        wide = some.join(texts.select(F.col("id").alias("a"), "text").hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
         return wide.select("a", "b", "text", "other").mapInArrow(_confirm(k, percent), "a long, b long")
 
-    # The best candidate of each set first; of the others only those that still join two components.
+    # The best candidates of each set first; of the others only those that still join two components.
     best = Window.partitionBy("b").orderBy(F.desc("likely"), "a")
-    links = stages.keep(confirmed(likely.withColumn("place", F.row_number().over(best)).where("place = 1")))
-    roots = components(stages, links)
+    first_links = stages.keep(confirmed(likely.withColumn("place", F.row_number().over(best)).where(F.col("place") <= FIRST)))
+    roots = components(stages, first_links)
 
-    def rooted(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    def rooted(edges: DataFrame) -> DataFrame:
         r = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         return edges.join(r[0], "a", "left").join(r[1], "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
 
-    rest = confirmed(rooted(likely, roots).where("ra <> rb").select("a", "b"))
-    links = stages.keep(links.unionByName(rest))
-    roots = components(stages, links)
+    links = stages.keep(confirmed(rooted(likely).where("ra <> rb").select("a", "b")))
     # Large regions: whatever is outside the largest component meets all of the region.
     members = marks.where("kind = 1").select("region", F.col("a").alias("node")).distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = members.groupBy("region", "root").count()
@@ -281,9 +282,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
         held = stages.keep(placed.groupBy("region", "slot").agg(F.collect_list(block).alias("members")))
         asking = placed.where("root <> main").groupBy("region", F.col("slot").alias("from")).agg(F.collect_list(block).alias("queries"))
         more = held.join(asking, "region").select("queries", "members").mapInArrow(_blocks(k, percent), "a long, b long")
-        bridges = stages.keep(more.distinct())
-        if not bridges.isEmpty():
-            roots = components(stages, links.unionByName(bridges))
+        links = links.unionByName(stages.keep(more))
+    if not links.isEmpty():
+        roots = components(stages, first_links.unionByName(links))
     root_of = first.where("copies > 1").select("class", F.col("id").alias("rep"))
     named = signed.join(root_of, "class", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
