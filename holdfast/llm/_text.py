@@ -147,3 +147,13 @@ def minhash(shingles: np.ndarray, at: np.ndarray, multipliers: np.ndarray, masks
 def hash_family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     return rng.integers(0, 1 << 63, n, dtype=np.uint64) * U64(2) + U64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+def row_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's bytes."""
+    power, inverse = _power_tables(len(raw) + 1)
+    total = np.empty(len(raw) + 1, dtype=U64)
+    total[0] = 0
+    np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
+    sizes = np.diff(offsets).astype(U64)
+    return mix64((total[offsets[1:]] - total[offsets[:-1]]) * inverse[offsets[:-1]] + sizes)

@@ -10,6 +10,7 @@ from holdfast.llm.decontaminate import find_contained
 from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.line_dedup import removed_lines
 from holdfast.llm.minhash_dedup import minhash_dedup
+from holdfast.llm.pitman_yor import score_texts
 from holdfast.llm.quality import quality_classifier
 from holdfast.llm.secrets import secret_scan
 from holdfast.llm.sharding import assign_shards
@@ -47,6 +48,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_model": op7_language_model,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
