@@ -14,6 +14,7 @@ from holdfast.llm.pitman_yor import score_texts
 from holdfast.llm.quality import quality_classifier
 from holdfast.llm.secrets import secret_scan
 from holdfast.llm.sharding import assign_shards
+from holdfast.llm.suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -71,6 +76,7 @@ QUERIES = {
     "op7_language_model": op7_language_model,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
