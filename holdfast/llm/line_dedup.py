@@ -85,9 +85,12 @@ def removed_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, text:
     have one line, without tokens.  Repeated rows are rows of their own; of
     these, which comes first is not fixed.  No rows give no rows.
     """
+    return _removed(spark, docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text")), percent)
+
+
+def _removed(spark: SparkSession, numbered: DataFrame, percent: int) -> DataFrame:
     stages = Stages(spark, "lines")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    lines = _lines(rows)
+    lines = _lines(numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     places = stages.keep(lines.select("row", "doc_id", "line_no", "h1", "h2"))
     classes = similar_lines(spark, stages, lines, percent)
     judged = places.join(classes, ["h1", "h2"])
@@ -104,6 +107,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, text: s
     """docs with `text` less the lines that go; see removed_lines.  Rows are numbered in a written table, so that they keep their numbers."""
     stages = Stages(spark, "line-texts")
     whole = stages.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
-    gone = removed_lines(spark, whole, percent, text, key).select(F.col("row").alias("_row"), F.col("removed").alias("_removed"))
+    gone = _removed(spark, whole.select(F.col("_row").alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text")), percent).select(F.col("row").alias("_row"), F.col("removed").alias("_removed"))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
     return whole.join(gone, "_row").withColumn(text, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text))).drop("_row", "_removed")
