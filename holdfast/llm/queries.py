@@ -54,7 +54,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark, table(spark, sf_dir, "documents"))
+    return exact_dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
