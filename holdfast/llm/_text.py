@@ -9,6 +9,8 @@ compare the texts themselves.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,3 +159,15 @@ def row_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
     sizes = np.diff(offsets).astype(U64)
     return mix64((total[offsets[1:]] - total[offsets[:-1]]) * inverse[offsets[:-1]] + sizes)
+
+
+@contextlib.contextmanager
+def without_cycles() -> Iterator[None]:
+    """No search for reference cycles meanwhile: code that makes millions of small objects, none in cycles, spends much time on it."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

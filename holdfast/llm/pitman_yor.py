@@ -78,23 +78,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers, ids, starts, total = _Numbers(), [], [], 0
 
     def rows() -> pa.RecordBatch:
-        every = np.concatenate([np.array(i, np.int64) for i in ids])
+        every = np.concatenate(ids)
         leaf = np.array(numbers.leaves)
         keys, counts = np.unique(every * LEAVES + _contexts(leaf, every, np.array(starts)), return_counts=True)
         words = pa.array(list(numbers), pa.binary()).take(pa.array(keys // LEAVES))
         ids.clear(), starts.clear(), numbers.clear(), numbers.leaves.clear()
         return pa.RecordBatch.from_arrays([words, pa.array((keys % LEAVES).astype(np.int32)), pa.array(counts)], ["word", "leaf", "n"])
 
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            ids.append([numbers[w] for w in tokens_of(text or b"")])
-            starts.append(total)
-            total += len(ids[-1])
-            if total > TOKENS or len(numbers) > WORDS:
-                yield rows()
-                total = 0
-    if ids:
-        yield rows()
+    with X.without_cycles():
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                ids.append(np.array([numbers[w] for w in tokens_of(text or b"")], np.int64))
+                starts.append(total)
+                total += len(ids[-1])
+                if total > TOKENS or len(numbers) > WORDS:
+                    yield rows()
+                    total = 0
+        if ids:
+            yield rows()
 
 
 def _chance(key: np.ndarray, step: int) -> np.ndarray:
@@ -167,26 +168,24 @@ class Seats:
         self.k1 = X.mix64(names[self.word] + self.leaf.astype(X.U64))
         self.k2 = X.mix64(names[self.gword] + (self.gmiddle + LEAVES).astype(X.U64))
         self.k3 = X.mix64(names + X.U64(LEAVES + MIDDLES))
-        self._put(np.ones(len(self.word)), np.ones(len(self.gword)), np.ones(self.size))
-
-    def _put(self, t1, t2=None, t3=None):
-        self.t1, self.t2, self.t3 = t1, t2, t3
-
-    @property
-    def c2(self):
-        return np.bincount(self.group, self.t1, minlength=len(self.gword))
-
-    @property
-    def c3(self):
-        return np.bincount(self.gword, self.t2, minlength=self.size)
+        self.open1 = np.flatnonzero(self.c1 > 1)  # a lone customer has one table always
+        self.t1, self.t2, self.t3 = np.ones(len(self.word)), np.ones(len(self.gword)), np.ones(self.size)
+        self.c2, self.c3 = np.bincount(self.group, minlength=len(self.gword)).astype(np.float64), np.bincount(self.gword, minlength=self.size).astype(np.float64)
 
     def sweep(self, totals: Totals, number: int) -> None:
         salt = X.U64(number * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
         p3 = totals.root(self.c3, self.t3)
         p2 = totals.own_middle(self.c2, self.t2, self.gmiddle) + totals.to_root()[self.gmiddle] * p3[self.gword]
-        self.t1 = seat(self.c1, (STRENGTH + totals.d1 * totals.t1[self.leaf]) * p2[self.group], totals.d1, self.k1 ^ salt)
-        self.t2 = seat(self.c2, (STRENGTH + totals.d1 * totals.t2[self.gmiddle]) * p3[self.gword], totals.d1, self.k2 ^ salt)
-        self.t3 = seat(self.c3, np.full(self.size, (STRENGTH + totals.d3 * totals.t3) * totals.uniform), totals.d3, self.k3 ^ salt)
+        at = self.open1
+        self.t1[at] = seat(self.c1[at], (STRENGTH + totals.d1 * totals.t1[self.leaf[at]]) * p2[self.group[at]], totals.d1, self.k1[at] ^ salt)
+        self.c2 = np.bincount(self.group, self.t1, minlength=len(self.gword))
+        at = np.flatnonzero(self.c2 > 1)
+        self.t2.fill(1)
+        self.t2[at] = seat(self.c2[at], (STRENGTH + totals.d1 * totals.t2[self.gmiddle[at]]) * p3[self.gword[at]], totals.d1, self.k2[at] ^ salt)
+        self.c3 = np.bincount(self.gword, self.t2, minlength=self.size)
+        at = np.flatnonzero(self.c3 > 1)
+        self.t3.fill(1)
+        self.t3[at] = seat(self.c3[at], np.full(len(at), (STRENGTH + totals.d3 * totals.t3) * totals.uniform), totals.d3, self.k3[at] ^ salt)
 
     def sums(self) -> np.ndarray:
         return np.concatenate([np.bincount(self.leaf, self.t1, minlength=LEAVES), np.bincount(self.gmiddle, self.t2, minlength=MIDDLES), [self.t3.sum()]])
@@ -298,42 +297,48 @@ def _laid_out(name: str, held, base_of):
         from pyspark import TaskContext
 
         data, predictive = held.value
-        numbers, rows, counts, leaves = _hot(name, data, predictive)
-        base = base_of(counts)
-        number, row, start = numbers.get, TaskContext.get().partitionId() << 33, leaf_of(b"")
-        for batch in batches:
-            sums, cold_row, words, contexts = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                tokens = tokens_of(text or b"")
-                ids = np.array([number(w, -1) for w in tokens], np.int64)
-                leaf = leaves[ids]
-                cold = np.flatnonzero(ids < 0)
-                for i in cold.tolist():
-                    leaf[i] = leaf_of(tokens[i])
-                context = np.empty(len(ids), np.int64)
-                context[0], context[1:] = start, leaf[:-1]
-                hot = ids >= 0
-                sums.append((row, len(ids), int(hot.sum()), float(base[ids][hot].sum()), float(rows[ids, context][hot].sum(dtype=np.float64))))
-                missing: dict[bytes, bytearray] = {}
-                for i in cold.tolist():
-                    missing.setdefault(tokens[i], bytearray()).append(context[i])
-                cold_row += [row] * len(missing)
-                words += missing
-                contexts += map(bytes, missing.values())
-                row += 1
-            n, m = len(sums), len(words)
-            columns = list(zip(*sums, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([0] * n + [1] * m, pa.int32()),
-                    pa.array([*columns[0], *cold_row], pa.int64()),
-                    pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
-                    *[pa.array([*c, *[0] * m], k) for c, k in zip(columns[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
-                    pa.array([None] * n + words, pa.binary()),
-                    pa.array([None] * n + contexts, pa.binary()),
-                ],
-                ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "leaves"],
-            )
+        hot = _hot(name, data, predictive)
+        base, row = base_of(hot[2]), TaskContext.get().partitionId() << 33
+        with X.without_cycles():
+            for batch in batches:
+                yield laid(batch, hot, base, row)
+                row += batch.num_rows
+
+    def laid(batch: pa.RecordBatch, hot, base: np.ndarray, row: int) -> pa.RecordBatch:
+        numbers, rows, _, leaves = hot
+        number, start = numbers.get, leaf_of(b"")
+        sums, cold_row, words, contexts = [], [], [], []
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
+            tokens = tokens_of(text or b"")
+            ids = np.array([number(w, -1) for w in tokens], np.int64)
+            leaf = leaves[ids]
+            cold = np.flatnonzero(ids < 0).tolist()
+            for i in cold:
+                leaf[i] = leaf_of(tokens[i])
+            context = np.empty(len(ids), np.int64)
+            context[0], context[1:] = start, leaf[:-1]
+            known = ids >= 0
+            sums.append((row, len(ids), int(known.sum()), float(base[ids][known].sum()), float(rows[ids, context][known].sum(dtype=np.float64))))
+            missing: dict[bytes, bytearray] = {}
+            for i in cold:
+                missing.setdefault(tokens[i], bytearray()).append(context[i])
+            cold_row += [row] * len(missing)
+            words += missing
+            contexts += map(bytes, missing.values())
+            row += 1
+        n, m = len(sums), len(words)
+        columns = list(zip(*sums, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([0] * n + [1] * m, pa.int32()),
+                pa.array([*columns[0], *cold_row], pa.int64()),
+                pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
+                *[pa.array([*c, *[0] * m], k) for c, k in zip(columns[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
+                pa.array([None] * n + words, pa.binary()),
+                pa.array([None] * n + contexts, pa.binary()),
+            ],
+            ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "leaves"],
+        )
 
     return run
 
