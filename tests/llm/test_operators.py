@@ -264,3 +264,23 @@ def test_repeats(spark, docs, texts):
     for i, (gone, spans, rest) in enumerate(brute.repeats([(t or "").encode() for t in given])):
         row = got.loc[i]
         assert (row.n_removed, row.n_spans, row.kept) == (gone, spans, rest) and row.kept_sha256 == hashlib.sha256(rest).hexdigest()
+
+
+def test_counts_of_words_that_run_over_batches():
+    import pyarrow as pa
+
+    texts = [" ".join(RNG.choices("abcde", k=RNG.randint(0, 6))) for _ in range(40)]
+    parts = [b for i in range(0, 40, 5) for b in pitman_yor._counted(iter([pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5])], ["text"])]))]
+    ordered = pa.Table.from_batches(parts).sort_by("word").combine_chunks()
+    want = {}
+    for t in texts:
+        before = b""
+        for w in pitman_yor.tokens_of(t.encode()):
+            key = w, pitman_yor.leaf_of(before)
+            want[key] = want.get(key, 0) + 1
+            before = w
+    for size in (1, 3, 100):
+        out = pa.Table.from_batches(pitman_yor._merged(iter(ordered.to_batches(max_chunksize=size)))).to_pylist()
+        assert len({r["word"] for r in out}) == len(out)
+        assert {(r["word"], f["leaf"]): f["n"] for r in out for f in r["found"]} == want
+        assert all(r["n"] == sum(f["n"] for f in r["found"]) for r in out)
