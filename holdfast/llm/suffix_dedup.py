@@ -20,6 +20,7 @@ Per document only the places of its anchors and one 51-bit mask each come back.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ WINDOW, ANCHOR = 200, 150
 SIDE = WINDOW - ANCHOR
 #: Symbols of a context's string: a side, the anchor, a side; padded to a multiple of three.
 STRING = 2 * SIDE + 2
-#: Strings sorted at once at most, but those of one anchor together; bits of the filter of repeated anchors.
-STRINGS, FILTER_BITS, SEGMENT_BITS = 16_000, 1 << 27, 1 << 15
+#: Strings sorted at once at most, but those of one anchor together; occurrences summed at once; bits of the filter of repeated anchors.
+STRINGS, GATHERED, FILTER_BITS, SEGMENT_BITS = 16_000, 1 << 18, 1 << 27, 1 << 15
 _NEVER = X.U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -107,12 +108,14 @@ def _contexts(held):
                 data, starts = raw.tobytes(), offsets.tolist()
                 keys = {r: row_key(docs[i + r], data[starts[r] : starts[r + 1]]) for r in np.unique(row).tolist()}
                 sides, before, ids = [], [], []
+                gc.disable()  # the loop makes many small objects, none in cycles
                 for r, a, h in zip(row.tolist(), at.tolist(), hashes.tolist(), strict=True):
                     low = max(starts[r], a - SIDE)
                     both = data[low:a] + data[a + ANCHOR : min(starts[r + 1], a + WINDOW)]
                     sides.append(both)
                     before.append(a - low)
                     ids.append(xxhash.xxh3_128_digest(b"%d:%d:" % (h, a - low) + both))
+                gc.enable()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([keys[r] for r in row.tolist()], pa.binary()), pa.array((at - offsets[row]).astype(np.int64)), pa.array(hashes.astype(np.int64)), pa.array(ids, pa.binary()), pa.array(sides, pa.binary()), pa.array(before, pa.int32())],
                     ["key", "place", "anchor", "id", "sides", "before"],
@@ -159,6 +162,14 @@ def window_ranks(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_masks(before: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All windows of a context that lie in its document: of before bytes in front, and lengths in all."""
+    out = np.zeros(len(before), np.int64)
+    for k in range(SIDE + 1):  # k places before the anchor, SIDE - k bytes after it
+        out |= ((before >= k) & (lengths - before >= SIDE - k)).astype(np.int64) << k
+    return out
+
+
 def repeated_starts(anchor: np.ndarray, sides: list[bytes], before: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For distinct contexts with their counts: a mask of the windows that occur again; bit k starts k places before the anchor."""
     m = len(sides)
@@ -187,12 +198,43 @@ def repeated_starts(anchor: np.ndarray, sides: list[bytes], before: np.ndarray,
     return out
 
 
+def _summed(rows: pa.Table, counts: list) -> pa.Table:
+    """One row for each anchor and context; counts: how n is made."""
+    out = rows.group_by(["anchor", "id"], use_threads=False).aggregate([("sides", "first"), ("before", "first"), *counts])
+    return out.rename_columns(["anchor", "id", "sides", "before", "n"])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences to contexts with their counts, summed over many rows before they move."""
+    waiting, size = [], 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        out = _summed(pa.Table.from_batches(waiting), [([], "count_all")])
+        yield from out.combine_chunks().to_batches()
+
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.num_rows
+        if size >= GATHERED:
+            yield from summed()
+            waiting, size = [], 0
+    if size:
+        yield from summed()
+
+
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of anchors to (id, mask), in runs of whole anchors."""
 
     def judged(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        mask = repeated_starts(rows["anchor"].to_numpy(), rows["sides"].to_pylist(), rows["before"].to_numpy().astype(np.int64), rows["n"].to_numpy())
+        rows = _summed(rows, [("n", "sum")]).combine_chunks()
+        anchor, before, counts = rows["anchor"].to_numpy(), rows["before"].to_numpy().astype(np.int64), rows["n"].to_numpy()
+        sides = rows["sides"].to_pylist()
+        mask = np.where(counts > 1, whole_masks(before, np.array([len(s) for s in sides], np.int64)), 0)
+        # An anchor of one context has no other string to be compared with.
+        _, which, contexts = np.unique(anchor, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(contexts[which] > 1)
+        if len(several):
+            mask[several] = repeated_starts(anchor[several], [sides[i] for i in several.tolist()], before[several], counts[several])
         some = np.flatnonzero(mask)
         return pa.RecordBatch.from_arrays([rows["id"].combine_chunks().take(pa.array(some)), pa.array(mask[some])], ["id", "mask"])
 
@@ -291,8 +333,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key
     held = spark.sparkContext.broadcast(anchor_filter(repeated))
     found = stages.keep(rows.mapInArrow(_contexts(held), "key binary, place long, anchor long, id binary, sides binary, before int"))
     # Equal contexts are counted before they move; those of an anchor then meet in order.
-    distinct = found.groupBy("anchor", "id").agg(F.first("sides").alias("sides"), F.first("before").alias("before"), F.count("*").alias("n"))
-    together = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "sides", "before", "n")
+    kind = "anchor long, id binary, sides binary, before int, n long"
+    distinct = found.select("anchor", "id", "sides", "before").mapInArrow(_distinct, kind)
+    together = distinct.repartition("anchor").sortWithinPartitions("anchor")
     judged = stages.keep(together.mapInArrow(_sorted_runs, "id binary, mask long"))
     marks = found.select("key", "place", "id").join(judged.hint("merge"), "id").groupBy("key").agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
     marks = stages.keep(marks)
