@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding over a global table of distinct words.
 
-Texts are cut at single spaces between other characters, where the published
-pattern always starts a new match, so that the ids of a text are those of its
-words end to end.  All distinct words of the corpus are gathered by one shuffle
-with map-side combining, cut by the pattern, and each is encoded once.  The most
-frequent of them, at most `hot_words`, go to every task: they would otherwise be
-hot join keys, and a table of bounded size is safe to broadcast.  All other words
-are exploded with their positions, joined with the table of distinct words,
-gathered by text, and put back by position.  Decoding joins each word's ids with
-the table of token bytes.
+Words are the matches of the published pattern.  All distinct words of the corpus
+are gathered by one shuffle with map-side combining, and each is encoded once.
+The most frequent of them, at most `hot_words`, go to every task: they would
+otherwise be hot join keys, and a table of bounded size is safe to broadcast.  All
+other words are exploded with their positions, joined with the table of distinct
+words, gathered by text, and put back by position.  Decoding joins each word's
+ids with the table of token bytes.
+
+Texts are first cut at single spaces between other characters, where the pattern
+always starts a new match, so that a piece is cut into words once for all its
+occurrences in a task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import base64
 import functools
 import hashlib
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,25 +33,33 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm._stage import Stages
+from holdfast.llm import _text as X
+from holdfast.llm._stage import Held, Stages
 
-#: Distinct words whose ids each task holds, and distinct words gathered before a task passes counts on.
-HOT_WORDS, GATHERED = 1 << 20, 1 << 19
+#: Distinct words whose ids each task holds, distinct pieces counted before a task passes counts on,
+#: distinct pieces and words it remembers, and texts it takes in hand at once.
+HOT_WORDS, GATHERED, PIECES, TEXTS = 1 << 19, 1 << 18, 1 << 17, 512
 
-#: A space beside white space or at an end; a space between other characters.
-_UNCLEAR = re.compile(r"\s | \s|\A | \Z")
+#: White space other than the space and the newline; a space between other characters.
+_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CLEAR = re.compile(r"(?<=\S) (?=\S)")
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text in order, without the space each but the first starts with; the first has one put before."""
-    parts = _CLEAR.split(text) if _UNCLEAR.search(text) else text.split(" ")
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a text in order, without the space each but the first starts with; the first has one put before."""
+    clear = not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _ODD.search(text))
+    parts = text.split(" ") if clear else _CLEAR.split(text)
     parts[0] = " " + parts[0]
     return parts
 
 
-def _as_in_text(word: str) -> str:
-    return word[1:] if word[:1] == " " else " " + word
+def words_of(piece: str, cut) -> list[str]:
+    """The matches of the pattern in a piece.  Letters alone are one, and so is a mark after them: no need to search."""
+    if piece.isalpha():
+        return [" " + piece]
+    if piece[-1:] in ",." and piece[:-1].isalpha():
+        return [" " + piece[:-1], piece[-1]]
+    return cut(piece[1:] if piece[:1] == " " else " " + piece)
 
 
 @functools.cache
@@ -77,31 +88,46 @@ def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words with their counts, gathered over many texts first."""
-    seen: Counter[str] = Counter()
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of TEXTS rows at most."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(i, TEXTS)
 
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
 
-    for batch in batches:
-        for text in _texts(batch.column(0)):
-            seen.update(words_of(text))
-            if len(seen) > GATHERED:
+def _counted(pattern: str):
+    """Distinct words with their counts, gathered over many texts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, seen = _pattern(pattern).findall, Counter()
+
+        def rows() -> pa.RecordBatch:
+            words: dict[str, int] = {}
+            for piece, n in seen.items():
+                for word in words_of(piece, cut):
+                    words[word] = words.get(word, 0) + n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+
+        with X.without_cycles():
+            for batch in _few(batches):
+                for text in _texts(batch.column(0)):
+                    seen.update(pieces_of(text))
+                    if len(seen) > GATHERED:
+                        yield rows()
+            if seen:
                 yield rows()
-    if seen:
-        yield rows()
+
+    return run
 
 
-def _encoded(ranks, pattern: str):
-    """(word, n) to (word, n, ids), ids as uint32 bytes: each match of the pattern by itself."""
+def _encoded(ranks):
+    """(word, n) to (word, n, ids), ids as uint32 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cut = _encoder(ranks.value).encode_ordinary, _pattern(pattern).findall
+        encode = _encoder(ranks.value).encode_ordinary
         for batch in batches:
-            ids = [np.array([i for m in cut(_as_in_text(w)) for i in encode(m)], np.uint32).tobytes() for w in batch.column(0).to_pylist()]
+            ids = [np.array(encode(w), np.uint32).tobytes() for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     return run
@@ -109,8 +135,8 @@ def _encoded(ranks, pattern: str):
 
 def distinct_words(spark: SparkSession, stages: Stages, rows: DataFrame, ranks, pattern: str) -> DataFrame:
     """The table (word, n, ids) of all distinct words of the column text."""
-    counted = rows.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return stages.keep(counted.mapInArrow(_encoded(ranks, pattern), "word string, n long, ids binary"))
+    counted = rows.select("text").mapInArrow(_counted(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stages.keep(counted.mapInArrow(_encoded(ranks), "word string, n long, ids binary"))
 
 
 def parted(words: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
@@ -130,10 +156,16 @@ def _as_arrow_bytes(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-@functools.lru_cache(maxsize=1)
-def _hot(key: str, data: bytes) -> dict[str, bytes]:
-    table = pa.ipc.open_stream(data).read_all()
-    return dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
+_held_ids, _held_words = Held(), Held()
+
+
+def _hot(name: str, hot) -> dict[str, bytes]:
+    def load() -> dict[str, bytes]:
+        _held_words.get("", lambda: None)  # made of the table that goes
+        table = pa.ipc.open_stream(hot.value).read_all()
+        return dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
+
+    return _held_ids.get(name, load)
 
 
 def _row_key(doc: int | None, text: str) -> bytes:
@@ -141,23 +173,48 @@ def _row_key(doc: int | None, text: str) -> bytes:
     return xxhash.xxh3_128_digest(b"%d:" % (-1 if doc is None else doc) + text.encode())[:12]
 
 
-def _cold(hot, name: str):
-    """key, word, places for every word of every text that is not hot."""
+class _Pieces(dict):
+    """piece -> its words that are not hot, with their numbers."""
+
+    def __init__(self, known: dict[str, bytes], cut):
+        super().__init__()
+        self.known, self.cut = known, cut
+
+    def __missing__(self, piece: str) -> tuple[tuple[int, str], ...]:
+        known, words = self.known, words_of(piece, self.cut)
+        for word in words:
+            if word not in known:
+                break
+        else:
+            self[piece] = ()
+            return ()
+        self[piece] = out = tuple([(i, w) for i, w in enumerate(words) if w not in known])
+        return out
+
+
+def _cold(pattern: str, hot, name: str):
+    """key, word, places for every word of every text that is not hot; a place is a piece's and a word's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _hot(name, hot.value)
-        for batch in batches:
-            keys, words, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                missing: dict[str, list[int]] = {}
-                for place, word in enumerate(words_of(text)):
-                    if word not in known:
-                        missing.setdefault(word, []).append(place)
-                if missing:
-                    keys += [_row_key(doc, text)] * len(missing)
-                    words += missing
-                    places += [np.array(p, np.uint32).tobytes() for p in missing.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.string()), pa.array(places, pa.binary())], ["key", "word", "places"])
+        pieces = _Pieces(_hot(name, hot), _pattern(pattern).findall)
+        with X.without_cycles():
+            for batch in _few(batches):
+                yield rows(batch, pieces)
+
+    def rows(batch: pa.RecordBatch, pieces: _Pieces) -> pa.RecordBatch:
+        keys, words, places = [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
+            missing: dict[str, list[int]] = {}
+            for place, cold in [x for x in enumerate([pieces[p] for p in pieces_of(text)]) if x[1]]:
+                for i, word in cold:
+                    missing.setdefault(word, []).extend((place, i))
+            if missing:
+                keys += [_row_key(doc, text)] * len(missing)
+                words += missing
+                places += [struct.pack(f"={len(p)}I", *p) for p in missing.values()]
+            if len(pieces) > PIECES:
+                pieces.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.string()), pa.array(places, pa.binary())], ["key", "word", "places"])
 
     return run
 
@@ -165,58 +222,107 @@ def _cold(hot, name: str):
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for they move once."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in _few(batches):
         texts = _texts(batch.column(1))
         keys = [_row_key(d, t) for d, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), pa.array([pack(t.encode()) for t in texts], pa.binary())], ["key", "doc_id", "data"])
 
 
-class _Ready(dict):
-    """word -> its ids in decimal joined by spaces, their number, and their bytes."""
+#: ids in decimal joined by spaces, their number, and their bytes
+Made = tuple[bytes, int, bytes]
+
 
-    def __init__(self, ids: dict[str, bytes], names: list[bytes], token: list[bytes]):
+class _Words(dict):
+    """hot word -> what is made of its ids; None for others.  Kept from task to task."""
+
+    def __init__(self, ids: dict[str, bytes], token: list[bytes]):
         super().__init__()
-        self.ids, self.names, self.token = ids, names, token
+        self.raw, self.token, self.names = ids, token, [b"%d" % i for i in range(len(token))]
 
-    def made(self, raw: bytes) -> tuple[bytes, int, bytes]:
-        ids = np.frombuffer(raw, np.uint32).tolist()
+    def made(self, raw: bytes) -> Made:
+        if len(raw) == 4:
+            (one,) = struct.unpack("=I", raw)
+            return self.names[one], 1, self.token[one]
+        ids = struct.unpack(f"={len(raw) // 4}I", raw)
         return b" ".join([self.names[i] for i in ids]), len(ids), b"".join([self.token[i] for i in ids])
 
-    def __missing__(self, word: str):
-        raw = self.ids.get(word)
+    def __missing__(self, word: str) -> Made | None:
+        raw = self.raw.get(word)
         if raw is None:
             return None
         self[word] = out = self.made(raw)
         return out
 
 
-def _finished(ranks, hot, name: str, with_ids: bool):
+def _words(name: str, hot, ranks: bytes) -> _Words:
+    ids = _hot(name, hot)
+    return _held_words.get(name, lambda: _Words(ids, _token_bytes(ranks)))
+
+
+def _joined(parts: list[Made]) -> Made:
+    return b" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
+
+
+class _Ready(dict):
+    """piece -> what is made of its words; None if not all are hot."""
+
+    def __init__(self, words: _Words, cut):
+        super().__init__()
+        self.words, self.cut = words, cut
+
+    def __missing__(self, piece: str) -> Made | None:
+        cut = words_of(piece, self.cut)
+        if len(cut) == 1:
+            out = self.words[cut[0]]
+        else:
+            parts = [self.words[w] for w in cut]
+            out = None if None in parts else _joined(parts)
+        self[piece] = out
+        return out
+
+    def with_found(self, piece: str, found: dict[int, bytes]) -> Made:
+        return _joined([self.words.made(found[i]) if i in found else self.words[w] for i, w in enumerate(words_of(piece, self.cut))])
+
+
+def _finished(ranks, pattern: str, hot, name: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _token_bytes(ranks.value)
-        ready = _Ready(_hot(name, hot.value), [b"%d" % i for i in range(len(token))], token)
+        ready = _Ready(_words(name, hot, ranks.value), _pattern(pattern).findall)
+        with X.without_cycles():
+            for batch in _few(batches):
+                yield finished(batch, ready)
+
+    def finished(batch: pa.RecordBatch, ready: _Ready) -> pa.RecordBatch:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            counts, shas, decoded, all_ids, texts = [], [], [], [], []
-            for data, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                parts = [ready[w] for w in words_of(unpack(data).decode())]
-                for one in found.as_py() or ():
-                    made = ready.made(one["ids"])
-                    for place in np.frombuffer(one["places"], np.uint32).tolist():
-                        parts[place] = made
-                ids = b" ".join([p[0] for p in parts if p[1]])
-                back = b"".join([p[2] for p in parts])
-                counts.append(sum([p[1] for p in parts]))
-                shas.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(back).hexdigest())
-                if with_ids:
-                    all_ids.append([int(i) for i in ids.split()])
-                    texts.append(back.decode("utf-8", "replace"))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-            named = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        counts, shas, decoded, all_ids, texts = [], [], [], [], []
+        for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            pieces = pieces_of(unpack(data).decode())
+            parts = [ready[p] for p in pieces]
+            cold: dict[int, dict[int, bytes]] = {}
+            for one in found or ():
+                places = struct.unpack(f"={len(one['places']) // 4}I", one["places"])
+                for place, i in zip(places[::2], places[1::2], strict=True):
+                    cold.setdefault(place, {})[i] = one["ids"]
+            for place, words in cold.items():
+                parts[place] = ready.with_found(pieces[place], words)
+            decimals, numbers, own = zip(*parts, strict=True)
+            ids = b" ".join(decimals if numbers[0] else decimals[1:])  # only the first piece can be empty
+            back = b"".join(own)
+            counts.append(sum(numbers))
+            shas.append(hashlib.sha256(ids).hexdigest())
+            decoded.append(hashlib.sha256(back).hexdigest())
             if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                named += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, named)
+                all_ids.append([int(i) for i in ids.split()])
+                texts.append(back.decode("utf-8", "replace"))
+            if len(ready) > PIECES:
+                ready.clear()
+            if len(ready.words) > PIECES:
+                ready.words.clear()
+        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        named = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+            named += ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays(columns, named)
 
     return run
 
@@ -239,8 +345,9 @@ def encode_decode(
     frequent, others = parted(words, hot_words)
     hot = spark.sparkContext.broadcast(_as_arrow_bytes(frequent))
     # Only words that are not hot are joined; a row is one word of one text with all its places.
-    cold = rows.mapInArrow(_cold(hot, stages.root), "key binary, word string, places binary")
+    cold = rows.mapInArrow(_cold(pattern, hot, stages.root), "key binary, word string, places binary")
     found = stages.keep(cold.join(others.select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("places", "ids")).alias("found")))
+    stages.release()
     whole = rows.mapInArrow(_packed, "key binary, doc_id long, data binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return whole.join(found, "key", "left").select("doc_id", "data", "found").mapInArrow(_finished(ranks, hot, stages.root, with_ids), schema)
+    return whole.join(found, "key", "left").select("doc_id", "data", "found").mapInArrow(_finished(ranks, pattern, hot, stages.root, with_ids), schema)
