@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,8 +50,10 @@ class Stages:
 
     def release(self) -> None:
         """Lets the shuffle files of finished steps go: the driver drops them once it finds their plans unused."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # objects that hold others go first
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.1)
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
@@ -57,6 +62,20 @@ class Stages:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Held:
+    """One table that a task's process keeps for the next task of the same step; the last step's goes before another is made."""
+
+    def __init__(self):
+        self.name, self.value = None, None
+
+    def get(self, name: str, make: Callable[[], Any]) -> Any:
+        if self.name != name:
+            self.name = self.value = None
+            self.value = make()
+            self.name = name
+        return self.value
+
+
 def components(stages: Stages, edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): a row (node, root) for each node, root its least node.
 

@@ -12,8 +12,8 @@ sweep is a map over the table of words: given the numbers of tables in every
 restaurant after the sweep before, each word's customers leave and are seated
 anew.  Only those numbers, one for each restaurant, meet between sweeps.  A sweep
 draws its chances from hashes of word, restaurant and sweep: a repeated task gives
-the same seats, and a later sweep is had by running the earlier ones again, so
-that no seats are stored.  Probabilities are averaged over the last sweeps.
+the same seats, and a later sweep is had by running the earlier ones again; seats
+are stored once only, before the sweeps that count.  Probabilities are averaged over the last sweeps.
 
 Scoring looks up the most frequent words, at most `hot_words`, in a broadcast table; all
 other words are exploded, joined with the table of words, and summed by document.
@@ -21,24 +21,24 @@ other words are exploded, joined with the table of words, and summed by document
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import _text as X
-from holdfast.llm._stage import Stages
+from holdfast.llm._stage import Held, Stages
 
 MIDDLES, PER_MIDDLE = 8, 8
 LEAVES = MIDDLES * PER_MIDDLE
 SWEEPS, KEPT = 6, 3
 STRENGTH = 1.0
 #: Words that each task holds for scoring; tokens and words gathered before a task passes counts on.
-HOT_WORDS, TOKENS, WORDS = 1 << 18, 1 << 22, 1 << 19
+HOT_WORDS, TOKENS, WORDS = 1 << 18, 1 << 21, 1 << 18
 _LOWER_TABLE = bytes(X.LOWER)
 
 
@@ -73,17 +73,25 @@ def _contexts(leaf: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarr
     return out
 
 
+#: A word's occurrences after one leaf.
+_COUNT = np.dtype([("leaf", "u1"), ("n", "<i8")])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, leaf, n), summed over many texts first."""
+    """(word, counts by leaf), summed over many texts first: a task gives a word one row, or few."""
     numbers, ids, starts, total = _Numbers(), [], [], 0
 
     def rows() -> pa.RecordBatch:
         every = np.concatenate(ids)
         leaf = np.array(numbers.leaves)
-        keys, counts = np.unique(every * LEAVES + _contexts(leaf, every, np.array(starts)), return_counts=True)
-        words = pa.array(list(numbers), pa.binary()).take(pa.array(keys // LEAVES))
+        keys, n = np.unique(every * LEAVES + _contexts(leaf, every, np.array(starts)), return_counts=True)
+        counts = np.empty(len(keys), _COUNT)
+        counts["leaf"], counts["n"] = keys % LEAVES, n
+        at = np.searchsorted(keys // LEAVES, np.arange(len(numbers) + 1)) * _COUNT.itemsize
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(numbers), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(counts.tobytes())])
+        words = pa.array(list(numbers), pa.binary())
         ids.clear(), starts.clear(), numbers.clear(), numbers.leaves.clear()
-        return pa.RecordBatch.from_arrays([words, pa.array((keys % LEAVES).astype(np.int32)), pa.array(counts)], ["word", "leaf", "n"])
+        return pa.RecordBatch.from_arrays([words, packed.cast(pa.binary())], ["word", "counts"])
 
     with X.without_cycles():
         for batch in batches:
@@ -98,6 +106,47 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows()
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of words to one row a word: word, n, found (leaf and n).  A word may run over several batches."""
+    held: tuple[pa.Scalar, np.ndarray] | None = None
+
+    def rows(words: pa.Array, word: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        at = np.searchsorted(word, np.arange(len(words) + 1))
+        found = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(n)], ["leaf", "n"]))
+        return pa.RecordBatch.from_arrays([words, pa.array(np.bincount(word, n, minlength=len(words)).astype(np.int64)), found], ["word", "n", "found"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = batch.column(0)
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+        number = np.cumsum(new) - 1
+        raw, offsets = X.utf8(batch.column(1))
+        counts = np.frombuffer(raw.tobytes(), _COUNT)
+        total = np.zeros((1, LEAVES), np.int64)
+        names = words.take(pa.array(np.flatnonzero(new)))
+        key = np.repeat(number, np.diff(offsets) // _COUNT.itemsize) * LEAVES + counts["leaf"]
+        n = counts["n"]
+        if held is not None:
+            before = np.flatnonzero(held[1])
+            if held[0] == names[0]:
+                key, n = np.concatenate([before, key]), np.concatenate([held[1][before], n])
+            else:
+                yield rows(pa.array([held[0].as_py()], pa.binary()), np.zeros(len(before), np.int64), before, held[1][before])
+        keys, which = np.unique(key, return_inverse=True)
+        sums = np.bincount(which, n).astype(np.int64)
+        last = len(names) - 1
+        cut = int(np.searchsorted(keys, last * LEAVES))
+        total[0, keys[cut:] % LEAVES] = sums[cut:]
+        held = names[last], total[0]
+        if last:
+            yield rows(names.slice(0, last), keys[:cut] // LEAVES, keys[:cut] % LEAVES, sums[:cut])
+    if held is not None:
+        before = np.flatnonzero(held[1])
+        yield rows(pa.array([held[0].as_py()], pa.binary()), np.zeros(len(before), np.int64), before, held[1][before])
+
+
 def _chance(key: np.ndarray, step: int) -> np.ndarray:
     return (X.mix64(key + X.U64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> X.U64(11)) * 2.0**-53
 
@@ -150,7 +199,7 @@ class Seats:
     """The customers of a batch of words, and their tables sweep by sweep."""
 
     def __init__(self, batch: pa.RecordBatch):
-        """batch: word, n, found (list of leaf and n)."""
+        """batch: word, n, found (list of leaf and n), and from a later sweep on the tables in leaves, middles and root."""
         found = batch.column(2)
         counts = np.diff(found.offsets.to_numpy())
         flat = found.flatten()
@@ -169,8 +218,11 @@ class Seats:
         self.k2 = X.mix64(names[self.gword] + (self.gmiddle + LEAVES).astype(X.U64))
         self.k3 = X.mix64(names + X.U64(LEAVES + MIDDLES))
         self.open1 = np.flatnonzero(self.c1 > 1)  # a lone customer has one table always
-        self.t1, self.t2, self.t3 = np.ones(len(self.word)), np.ones(len(self.gword)), np.ones(self.size)
-        self.c2, self.c3 = np.bincount(self.group, minlength=len(self.gword)).astype(np.float64), np.bincount(self.gword, minlength=self.size).astype(np.float64)
+        if batch.num_columns > 3:
+            self.t1, self.t2, self.t3 = np.array(batch.column(3).flatten()), np.array(batch.column(4).flatten()), np.array(batch.column(5))
+        else:
+            self.t1, self.t2, self.t3 = np.ones(len(self.word)), np.ones(len(self.gword)), np.ones(self.size)
+        self.c2, self.c3 = np.bincount(self.group, self.t1, minlength=len(self.gword)), np.bincount(self.gword, self.t2, minlength=self.size)
 
     def sweep(self, totals: Totals, number: int) -> None:
         salt = X.U64(number * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
@@ -191,16 +243,30 @@ class Seats:
         return np.concatenate([np.bincount(self.leaf, self.t1, minlength=LEAVES), np.bincount(self.gmiddle, self.t2, minlength=MIDDLES), [self.t3.sum()]])
 
 
-def _swept(history: list[Totals]):
-    """The sums of tables after one more sweep than history has totals for sweeps."""
+def _seated(history: list[Totals]):
+    """Words with their tables after the sweeps that history has totals for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seats = Seats(batch)
+            for number, totals in enumerate(history):
+                seats.sweep(totals, number)
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(word, np.arange(seats.size + 1)).astype(np.int32)), pa.array(t)) for word, t in ((seats.word, seats.t1), (seats.gword, seats.t2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array(seats.t3)], ["word", "n", "found", "t1", "t2", "t3"])
+
+    return run
+
+
+def _swept(history: list[Totals], done: int = 0):
+    """The sums of tables after one more sweep than history has totals for, of which the first `done` are in the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEAVES + MIDDLES + 1)
         for batch in batches:
             if batch.num_rows:
                 seats = Seats(batch)
-                for number, totals in enumerate(history):
-                    seats.sweep(totals, number)
+                for number in range(done, len(history)):
+                    seats.sweep(history[number], number)
                 total += seats.sums()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "tables"])
 
@@ -231,14 +297,14 @@ class Predictive:
         return self.log10(1, none, none, np.zeros(0), none, none, np.zeros((0, len(self.unknown))), self.unknown[None])[0]
 
 
-def _learnt(history: list[Totals]):
-    """(word, n, found) to (word, n, leaf, leaf_own, mid, mid_own, root): small arrays as bytes."""
+def _learnt(history: list[Totals], done: int = 0):
+    """(word, n, found), with the tables of `done` sweeps, to (word, n, leaf, leaf_own, mid, mid_own, root): small arrays as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seats, own1, own2, own3 = Seats(batch), 0.0, [], []
-            for number, totals in enumerate(history[:-1]):
-                seats.sweep(totals, number)
+            for number in range(done, SWEEPS):
+                seats.sweep(history[number], number)
                 if number >= SWEEPS - KEPT:
                     now = history[number + 1]
                     own1 = own1 + np.maximum(seats.c1 - now.d1 * seats.t1, 0) / (STRENGTH + now.c1[seats.leaf]) / KEPT
@@ -278,26 +344,34 @@ def _probabilities(predictive: Predictive, columns: list[pa.Array]) -> np.ndarra
     )
 
 
-@functools.lru_cache(maxsize=1)
-def _hot(name: str, data: bytes, predictive: Predictive) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+_held = Held()
+
+
+def _hot(name: str, hot, predictive: Predictive) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
     """Of the hot words: their numbers, rows of log10 probabilities, counts, and leaves."""
-    table = pa.ipc.open_stream(data).read_all().combine_chunks()
-    words = table["word"].to_pylist()
-    rows = [_probabilities(predictive, [table[c].slice(i, 1 << 14).combine_chunks() for c in ("leaf", "leaf_own", "mid", "mid_own", "root")]) for i in range(0, len(words), 1 << 14)]
-    return {w: i for i, w in enumerate(words)}, np.concatenate([*rows, np.zeros((1, LEAVES), np.float32)]), np.append(table["n"].to_numpy(), 0), np.array([*map(leaf_of, words), 0])
+
+    def load():
+        table = pa.ipc.open_stream(hot.value).read_all().combine_chunks()
+        words = table["word"].to_pylist()
+        rows = np.zeros((len(words) + 1, LEAVES), np.float32)
+        for i in range(0, len(words), 1 << 14):
+            part = table.slice(i, 1 << 14)
+            rows[i : i + len(part)] = _probabilities(predictive, [part[c].combine_chunks() for c in ("leaf", "leaf_own", "mid", "mid_own", "root")])
+        return {w: i for i, w in enumerate(words)}, rows, np.append(table["n"].to_numpy(), 0), np.array([*map(leaf_of, words), 0])
+
+    return _held.get(name, load)
 
 
 _LAID = "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, leaves binary"
 
 
-def _laid_out(name: str, held, base_of):
+def _laid_out(name: str, hot_words, predictive: Predictive, base_of):
     """kind 0: a text's sums over its hot words.  kind 1: one of its other words with the contexts of its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        data, predictive = held.value
-        hot = _hot(name, data, predictive)
+        hot = _hot(name, hot_words, predictive)
         base, row = base_of(hot[2]), TaskContext.get().partitionId() << 33
         with X.without_cycles():
             for batch in batches:
@@ -343,11 +417,10 @@ def _laid_out(name: str, held, base_of):
     return run
 
 
-def _joined(held, base_of):
+def _joined(predictive: Predictive, base_of):
     """row, leaves, and the model's columns (null: unknown) to row, n_known, base, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictive = held.value[1]
         unknown = predictive.log10_unknown()
         for whole in batches:
             for i in range(0, whole.num_rows, 1 << 14):
@@ -382,8 +455,10 @@ def score_texts(spark: SparkSession, docs: DataFrame, hot_words: int = HOT_WORDS
     stages = Stages(spark, "language-model")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    pairs = rows.where(~held_out).select("text").mapInArrow(_counted, "word binary, leaf int, n long").groupBy("word", "leaf").agg(F.sum("n").alias("n"))
-    words = stages.keep(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("leaf", "n")).alias("found")))
+    counted = rows.where(~held_out).select("text").mapInArrow(_counted, "word binary, counts binary")
+    # A word's rows, one for each task that met it, come together in order; no list of them is made.
+    together = counted.repartition("word").sortWithinPartitions("word")
+    words = stages.keep(together.mapInArrow(_merged, "word binary, n long, found array<struct<leaf:int,n:bigint>>"))
     entry = words.select(F.explode("found").alias("x")).select("x.*")
     by_leaf = entry.groupBy("leaf").agg(F.sum("n").alias("c"), F.count("*").alias("t"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2")).collect()
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2")).first()
@@ -398,13 +473,16 @@ def score_texts(spark: SparkSession, docs: DataFrame, hot_words: int = HOT_WORDS
     for r in by_leaf:
         customers[r["leaf"]] = r["c"]
     history: list[Totals] = []
-    for _ in range(SWEEPS + 1):
-        sums = words.mapInArrow(_swept(history), "place int, tables double").groupBy("place").agg(F.sum("tables").alias("tables")).collect()
+    done, seated = 0, words
+    for number in range(SWEEPS + 1):
+        if number == SWEEPS - KEPT:  # seats are stored once, before the sweeps that count
+            done, seated = number, stages.keep(words.mapInArrow(_seated(history), "word binary, n long, found array<struct<leaf:int,n:bigint>>, t1 array<double>, t2 array<double>, t3 double"))
+        sums = seated.mapInArrow(_swept(history, done), "place int, tables double").groupBy("place").agg(F.sum("tables").alias("tables")).collect()
         tables = np.zeros(LEAVES + MIDDLES + 1)
         for r in sums:
             tables[r["place"]] = r["tables"]
         history.append(Totals(customers, tables[:LEAVES], tables[LEAVES:-1], tables[-1], discounts, size))
-    model = stages.keep(words.mapInArrow(_learnt(history), _MODEL))
+    model = stages.keep(seated.mapInArrow(_learnt(history, done), _MODEL))
 
     counts = words.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().toPandas().sort_values("n", ascending=False)
     fitting = counts[counts["count"].cumsum() <= hot_words]
@@ -413,15 +491,16 @@ def score_texts(spark: SparkSession, docs: DataFrame, hot_words: int = HOT_WORDS
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, hot.schema) as writer:
         writer.write_table(hot)
-    held = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), Predictive(history[-KEPT:])))
+    held, predictive = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), Predictive(history[-KEPT:])
 
     def base_of(counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (train + size + 1))
 
-    laid = stages.keep(rows.mapInArrow(_laid_out(stages.root, held, base_of), _LAID))
+    laid = stages.keep(rows.mapInArrow(_laid_out(stages.root, held, predictive, base_of), _LAID))
+    held.unpersist()
     others = model.where(F.col("n") < least)
     cold = laid.where("kind = 1").select("row", "word", "leaves").join(others, "word", "left").select("row", "leaves", "n", "leaf", "leaf_own", "mid", "mid_own", "root")
-    rest = cold.mapInArrow(_joined(held, base_of), "row long, n_known long, base double, score double").groupBy("row").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
+    rest = cold.mapInArrow(_joined(predictive, base_of), "row long, n_known long, base double, score double").groupBy("row").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
     out = laid.where("kind = 0").drop("kind", "word", "leaves").join(rest, "row", "left").na.fill(0, ["k", "b", "s"])
     score = F.col("score") + F.col("s")
     return out.select(
