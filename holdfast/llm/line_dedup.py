@@ -51,15 +51,17 @@ def similar_lines(spark: SparkSession, stages: Stages, lines: DataFrame, percent
     rank = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded into one literal
     # A token's code: 16 bits of its bucket's rank, then the other 47 bits of its hash; codes sort by rarity.
     code = F.sort_array(F.transform(_tokens(F.col("line")), lambda x: F.shiftleft(rank[x.bitwiseAND(BUCKETS - 1).cast("int")], 47).bitwiseOR(F.shiftrightunsigned(x, 17))))
-    coded = distinct.select("h1", "first", code.alias("codes")).withColumn("n", F.size("codes")).where("n > 0")
-    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9).cast("int") + 1
-    prefix = coded.select("h1", "first", "n", F.posexplode(F.slice("codes", F.lit(1), length)).alias("place", "code"))
-    a, b = (prefix.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("h1", "first", "n", "place")]) for s in "ab")
+    coded = distinct.select("h1", code.alias("codes"))
+    n = F.size("codes")
+    length = n - F.ceil(F.lit(percent) * n / 100 - 1e-9).cast("int") + 1
+    # Which line comes first is looked up for true pairs only: rows of the join are short.
+    prefix = coded.select("h1", n.alias("n"), F.posexplode(F.slice("codes", F.lit(1), length)).alias("place", "code"))
+    a, b = (prefix.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("h1", "n", "place")]) for s in "ab")
     rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))  # tokens from here on
     before = F.least("a_place", "b_place")
     likely = (
         a.join(b, "code")
-        .where(F.col("a_first") < F.col("b_first"))
+        .where(F.col("a_h1") < F.col("b_h1"))
         .where((100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n")))
         .where(rest + before >= _least_overlap(percent, F.col("a_n"), F.col("b_n")))
         .select("a_h1", "b_h1")
@@ -70,8 +72,8 @@ def similar_lines(spark: SparkSession, stages: Stages, lines: DataFrame, percent
     one = sets.select(F.col("h1").alias("a_h1"), F.col("first").alias("f"), F.col("tokens").alias("s"))
     two = sets.select(F.col("h1").alias("b_h1"), F.col("first").alias("g"), F.col("tokens").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
-    true = pairs.join(one, "a_h1").join(two, "b_h1").where("f < g").where(100 * shared >= percent * (F.size("s") + F.size("t") - shared))
-    gone = true.select(F.col("g").alias("first")).distinct().withColumn("gone", F.lit(True))
+    true = pairs.join(one, "a_h1").join(two, "b_h1").where(100 * shared >= percent * (F.size("s") + F.size("t") - shared))
+    gone = true.select(F.greatest("f", "g").alias("first")).distinct().withColumn("gone", F.lit(True))
     classes = distinct.select("h1", "h2", "first", (F.size(_tokens(F.col("line"))) > 0).alias("worded"))
     return classes.join(gone, "first", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
 
