@@ -50,8 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document that is left.  Fewer hot words than by default: tasks keep what earlier stages left in memory."""
-    return encode_decode(spark, docs, hot_words=1 << 17)
+    """The token ids and the decoded text of each document that is left, with their digests.  Fewer hot words than by default: tasks keep what earlier stages left in memory."""
+    return encode_decode(spark, docs, hot_words=1 << 17, with_ids=True)
 
 
 STAGES = [

@@ -37,3 +37,11 @@ def test_stages_keep_the_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "encode"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_the_last_stage_gives_ids(spark):
+    docs = spark.createDataFrame([(1, "Token ids, please."), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    assert got[1].decoded == "Token ids, please." and len(got[1].ids) == got[1].n_tokens > 0
+    assert hashlib.sha256(" ".join(map(str, got[1].ids)).encode()).hexdigest() == got[1].ids_sha256
+    assert not got[2].ids
