@@ -1,22 +1,23 @@
 """Scores texts with a hierarchical Pitman-Yor language model.
 
 A token is drawn in the context of the word before it.  Contexts are restaurants
-in three levels: the word before by its last two bytes (LEAVES of them), by its
-last byte (MIDDLES), and one root for all; each shares its parent with its
-siblings, and the root's parent is uniform over the vocabulary and one unknown.
-A customer is an occurrence; a dish a word; a table that is opened sends one
-customer to the parent.
-
-All seats of one word, in all restaurants, stand in one row, so that a Gibbs
-sweep is a map over the table of words: given the numbers of tables in every
-restaurant after the sweep before, each word's customers leave and are seated
-anew.  Only those numbers, one for each restaurant, meet between sweeps.  A sweep
-draws its chances from hashes of word, restaurant and sweep: a repeated task gives
-the same seats, and a later sweep is had by running the earlier ones again; seats
-are stored once only, before the sweeps that count.  Probabilities are averaged over the last sweeps.
-
-Scoring looks up the most frequent words, at most `hot_words`, in a broadcast table; all
-other words are exploded, joined with the table of words, and summed by document.
+in four levels: one for each distinct word before, as many as the corpus has; that
+word's last two bytes (LEAVES of them), its last byte (MIDDLES), and one root for
+all; the root's parent is uniform over the vocabulary and one unknown.  A customer
+is an occurrence; a dish a word; a table that is opened sends one customer to the
+parent.  Words go by 64-bit identities whose last six bits are their leaf.
+
+Pairs (word before, word, n) are counted in PASSES parts of the key space, so that
+one part is shuffled at a time.  A pair seen once has one table always; only the
+others are seated anew in each sweep, joined with the tables of their context and
+with the word's probability in the leaf.  The seats of the three upper levels stand
+in one row a word, and are had again by running the sweeps with the customers that
+each one had.  All seats are drawn given the totals of the sweep before, from hashes:
+a repeated task gives the same seats.  Averages are over the last sweeps; a context's
+tables and its leaf's probabilities are averaged apart, which keeps sums at one.
+
+Scoring looks up the most frequent pairs, at most `hot_words`, in a broadcast table; all
+other tokens are joined with the table of pairs, and summed by document.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import _text as X
-from holdfast.llm._stage import Held, Stages
+from holdfast.llm._stage import Stages
 
 MIDDLES, PER_MIDDLE = 8, 8
 LEAVES = MIDDLES * PER_MIDDLE
 SWEEPS, KEPT = 6, 3
 STRENGTH = 1.0
-#: Words that each task holds for scoring; tokens and words gathered before a task passes counts on.
-HOT_WORDS, TOKENS, WORDS = 1 << 18, 1 << 21, 1 << 18
+#: Pairs that each task holds for scoring; tokens and words gathered before a task passes counts on.
+HOT_WORDS, TOKENS, WORDS = 1 << 21, 1 << 21, 1 << 18
+#: Parts of the pairs, a power of two; one part is counted, or scored, at a time.
+PASSES = 4
 _LOWER_TABLE = bytes(X.LOWER)
 
 
@@ -199,7 +202,7 @@ class Seats:
     """The customers of a batch of words, and their tables sweep by sweep."""
 
     def __init__(self, batch: pa.RecordBatch):
-        """batch: word, n, found (list of leaf and n), and from a later sweep on the tables in leaves, middles and root."""
+        """batch: word, n, found (list of leaf and n), and for each sweep so far the customers in the order of found, if they change."""
         found = batch.column(2)
         counts = np.diff(found.offsets.to_numpy())
         flat = found.flatten()
@@ -217,18 +220,18 @@ class Seats:
         self.k1 = X.mix64(names[self.word] + self.leaf.astype(X.U64))
         self.k2 = X.mix64(names[self.gword] + (self.gmiddle + LEAVES).astype(X.U64))
         self.k3 = X.mix64(names + X.U64(LEAVES + MIDDLES))
-        self.open1 = np.flatnonzero(self.c1 > 1)  # a lone customer has one table always
-        if batch.num_columns > 3:
-            self.t1, self.t2, self.t3 = np.array(batch.column(3).flatten()), np.array(batch.column(4).flatten()), np.array(batch.column(5))
-        else:
-            self.t1, self.t2, self.t3 = np.ones(len(self.word)), np.ones(len(self.gword)), np.ones(self.size)
+        self.later = [np.array(c.flatten(), np.float64)[order] for c in batch.columns[3:]]
+        self.t1, self.t2, self.t3 = np.ones(len(self.word)), np.ones(len(self.gword)), np.ones(self.size)
         self.c2, self.c3 = np.bincount(self.group, self.t1, minlength=len(self.gword)), np.bincount(self.gword, self.t2, minlength=self.size)
 
     def sweep(self, totals: Totals, number: int) -> None:
         salt = X.U64(number * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
         p3 = totals.root(self.c3, self.t3)
         p2 = totals.own_middle(self.c2, self.t2, self.gmiddle) + totals.to_root()[self.gmiddle] * p3[self.gword]
-        at = self.open1
+        if number < len(self.later):
+            self.c1 = self.later[number]
+        at = np.flatnonzero(self.c1 > 1)
+        self.t1.fill(1)
         self.t1[at] = seat(self.c1[at], (STRENGTH + totals.d1 * totals.t1[self.leaf[at]]) * p2[self.group[at]], totals.d1, self.k1[at] ^ salt)
         self.c2 = np.bincount(self.group, self.t1, minlength=len(self.gword))
         at = np.flatnonzero(self.c2 > 1)
@@ -239,36 +242,40 @@ class Seats:
         self.t3.fill(1)
         self.t3[at] = seat(self.c3[at], np.full(len(at), (STRENGTH + totals.d3 * totals.t3) * totals.uniform), totals.d3, self.k3[at] ^ salt)
 
+    def in_leaf(self, totals: Totals) -> np.ndarray:
+        """The probability of each word in each of its leaves."""
+        p2 = totals.own_middle(self.c2, self.t2, self.gmiddle) + totals.to_root()[self.gmiddle] * totals.root(self.c3, self.t3)[self.gword]
+        return np.maximum(self.c1 - totals.d1 * self.t1, 0) / (STRENGTH + totals.c1[self.leaf]) + totals.to_middle()[self.leaf] * p2[self.group]
+
     def sums(self) -> np.ndarray:
         return np.concatenate([np.bincount(self.leaf, self.t1, minlength=LEAVES), np.bincount(self.gmiddle, self.t2, minlength=MIDDLES), [self.t3.sum()]])
 
 
-def _seated(history: list[Totals]):
-    """Words with their tables after the sweeps that history has totals for."""
+def _swept(history: list[Totals]):
+    """The sums of tables after one sweep for each of history."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LEAVES + MIDDLES + 1)
         for batch in batches:
-            seats = Seats(batch)
-            for number, totals in enumerate(history):
-                seats.sweep(totals, number)
-            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(word, np.arange(seats.size + 1)).astype(np.int32)), pa.array(t)) for word, t in ((seats.word, seats.t1), (seats.gword, seats.t2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array(seats.t3)], ["word", "n", "found", "t1", "t2", "t3"])
+            if batch.num_rows:
+                seats = Seats(batch)
+                for number, totals in enumerate(history):
+                    seats.sweep(totals, number)
+                total += seats.sums()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "tables"])
 
     return run
 
 
-def _swept(history: list[Totals], done: int = 0):
-    """The sums of tables after one more sweep than history has totals for, of which the first `done` are in the rows."""
+def _parents(history: list[Totals]):
+    """word, leaf, p: each word's probability in its leaves, after all sweeps but the last of history's totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEAVES + MIDDLES + 1)
         for batch in batches:
-            if batch.num_rows:
-                seats = Seats(batch)
-                for number in range(done, len(history)):
-                    seats.sweep(history[number], number)
-                total += seats.sums()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "tables"])
+            seats = Seats(batch)
+            for number, totals in enumerate(history[:-1]):
+                seats.sweep(totals, number)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(seats.word)), pa.array(seats.leaf), pa.array(seats.in_leaf(history[-1]))], ["word", "leaf", "p"])
 
     return run
 
@@ -297,13 +304,13 @@ class Predictive:
         return self.log10(1, none, none, np.zeros(0), none, none, np.zeros((0, len(self.unknown))), self.unknown[None])[0]
 
 
-def _learnt(history: list[Totals], done: int = 0):
-    """(word, n, found), with the tables of `done` sweeps, to (word, n, leaf, leaf_own, mid, mid_own, root): small arrays as bytes."""
+def _learnt(history: list[Totals]):
+    """(word, n, found, customers by sweep) to (word, n, leaf, leaf_own, mid, mid_own, root): small arrays as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seats, own1, own2, own3 = Seats(batch), 0.0, [], []
-            for number in range(done, SWEEPS):
+            for number in range(SWEEPS):
                 seats.sweep(history[number], number)
                 if number >= SWEEPS - KEPT:
                     now = history[number + 1]
@@ -325,9 +332,6 @@ def _learnt(history: list[Totals], done: int = 0):
     return run
 
 
-_MODEL = "word binary, n long, leaf binary, leaf_own binary, mid binary, mid_own binary, root binary"
-
-
 def _probabilities(predictive: Predictive, columns: list[pa.Array]) -> np.ndarray:
     """Rows of log10 probabilities from the columns leaf to root of the model."""
     (leaf, at1), (own1, _), (mid, at2), (own2, _), (root, _) = (X.utf8(c) for c in columns)
@@ -344,103 +348,174 @@ def _probabilities(predictive: Predictive, columns: list[pa.Array]) -> np.ndarra
     )
 
 
-_held = Held()
+def _answers(history: list[Totals], predictive: Predictive):
+    """(word, n, found, asked, customers by sweep) to (word, leaf, known, p): the averaged probability in each leaf asked for."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = _learnt(history)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1 << 14):
+                batch = whole.slice(i, 1 << 14)
+                (model,) = learnt(iter([batch.select([0, 1, 2, *range(4, batch.num_columns)])]))
+                asked = batch.column(3)
+                row, leaf = np.repeat(np.arange(batch.num_rows), pc.list_value_length(asked).to_numpy()), asked.flatten().to_numpy()
+                p = 10.0 ** _probabilities(predictive, [model.column(c) for c in range(2, 7)])[row, leaf].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(leaf.astype(np.int64)), batch.column(1).take(pa.array(row)), pa.array(p)], ["word", "leaf", "known", "p"])
 
-def _hot(name: str, hot, predictive: Predictive) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-    """Of the hot words: their numbers, rows of log10 probabilities, counts, and leaves."""
+    return run
 
-    def load():
-        table = pa.ipc.open_stream(hot.value).read_all().combine_chunks()
-        words = table["word"].to_pylist()
-        rows = np.zeros((len(words) + 1, LEAVES), np.float32)
-        for i in range(0, len(words), 1 << 14):
-            part = table.slice(i, 1 << 14)
-            rows[i : i + len(part)] = _probabilities(predictive, [part[c].combine_chunks() for c in ("leaf", "leaf_own", "mid", "mid_own", "root")])
-        return {w: i for i, w in enumerate(words)}, rows, np.append(table["n"].to_numpy(), 0), np.array([*map(leaf_of, words), 0])
 
-    return _held.get(name, load)
+_ONE = np.array([leaf_of(bytes([b])) for b in range(256)], np.uint64)
+_TWO = np.array([leaf_of(bytes([a, b])) for a in range(256) for b in range(256)], np.uint64)
+_LOW = X.U64(LEAVES - 1)
+END = X.mix64(np.array([7], np.uint64))[0] & ~_LOW | X.U64(leaf_of(b""))
+
+
+def identities(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The identities of each row's tokens, the end included, and n + 1 places; the last bits are leaf_of."""
+    words, at = X.word_hashes(raw, offsets)
+    rows = np.arange(len(offsets))
+    out = np.full(len(words) + len(offsets) - 1, END, np.uint64)
+    if len(words):
+        low, n = X.LOWER[raw], len(raw)
+        separate, cut = X._SEPARATOR[low], np.zeros(n + 1, bool)
+        cut[offsets] = True
+        last = ~separate
+        last[:-1] &= separate[1:] | cut[1:n]
+        end = np.flatnonzero(last)
+        alone = cut[end] | separate[end - 1]
+        leaf = np.where(alone, _ONE[low[end]], _TWO[low[end - 1].astype(np.int64) << 8 | low[end]])
+        out[np.arange(len(words)) + np.repeat(rows[:-1], np.diff(at))] = words & ~_LOW | leaf
+    return out, at + rows
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return X.mix64(before * X.U64(0x9E3779B97F4A7C15) + word)
+
+
+def _tokens(column: pa.Array, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By runs of texts: the first row, and of the tokens in a part of the key space their rows, the words before, words, keys."""
+    raw, offsets = X.utf8(column)
+    for i, j in X.slices(offsets):
+        word, at = identities(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[at[:-1]] = END
+        keys = pair_keys(before, word)
+        here = np.flatnonzero(keys >> X.U64(32) & X.U64(PASSES - 1) == X.U64(part))
+        yield i, i + np.searchsorted(at, here, side="right") - 1, before[here], word[here], keys[here]
+
+
+def _paired(part: int):
+    """(text, held_out) to (c, w, n): pairs with their occurrences in texts that are learnt from, summed over many texts."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        before, word, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        at = order[first]
+        sums = np.add.reduceat(n[order], first)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(sums)], ["c", "w", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            learns = (~batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
+            for _, row, before, word, keys in _tokens(batch.column(0), part):
+                if len(keys):
+                    held.append((before, word, keys, learns[row]))
+                    total += len(keys)
+                if total > TOKENS:
+                    yield rows(held)
+                    total = 0
+        if held:
+            yield rows(held)
 
-_LAID = "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, leaves binary"
+    return run
 
 
-def _laid_out(name: str, hot_words, predictive: Predictive, base_of):
-    """kind 0: a text's sums over its hot words.  kind 1: one of its other words with the contexts of its occurrences."""
+def _reseated(discount: float, number: int):
+    """(part, c, w, n, s, ts, t, p): t, the tables of the context so far, becomes those of the pair after the sweep."""
+    salt = X.U64(number * 0xD1342543DE82EF95 + 0x51ED & 0xFFFFFFFFFFFFFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        hot = _hot(name, hot_words, predictive)
-        base, row = base_of(hot[2]), TaskContext.get().partitionId() << 33
-        with X.without_cycles():
-            for batch in batches:
-                yield laid(batch, hot, base, row)
-                row += batch.num_rows
-
-    def laid(batch: pa.RecordBatch, hot, base: np.ndarray, row: int) -> pa.RecordBatch:
-        numbers, rows, _, leaves = hot
-        number, start = numbers.get, leaf_of(b"")
-        sums, cold_row, words, contexts = [], [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            tokens = tokens_of(text or b"")
-            ids = np.array([number(w, -1) for w in tokens], np.int64)
-            leaf = leaves[ids]
-            cold = np.flatnonzero(ids < 0).tolist()
-            for i in cold:
-                leaf[i] = leaf_of(tokens[i])
-            context = np.empty(len(ids), np.int64)
-            context[0], context[1:] = start, leaf[:-1]
-            known = ids >= 0
-            sums.append((row, len(ids), int(known.sum()), float(base[ids][known].sum()), float(rows[ids, context][known].sum(dtype=np.float64))))
-            missing: dict[bytes, bytearray] = {}
-            for i in cold:
-                missing.setdefault(tokens[i], bytearray()).append(context[i])
-            cold_row += [row] * len(missing)
-            words += missing
-            contexts += map(bytes, missing.values())
-            row += 1
-        n, m = len(sums), len(words)
-        columns = list(zip(*sums, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([0] * n + [1] * m, pa.int32()),
-                pa.array([*columns[0], *cold_row], pa.int64()),
-                pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
-                *[pa.array([*c, *[0] * m], k) for c, k in zip(columns[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
-                pa.array([None] * n + words, pa.binary()),
-                pa.array([None] * n + contexts, pa.binary()),
-            ],
-            ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "leaves"],
-        )
+        for batch in batches:
+            c, w = (batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+            weight = (STRENGTH + discount * batch.column(6).to_numpy()) * batch.column(7).to_numpy()
+            t = seat(batch.column(3).to_numpy().astype(np.float64), weight, discount, pair_keys(c, w) ^ salt).astype(np.int64)
+            ts = batch.column(5).to_numpy() + (t if number >= SWEEPS - KEPT else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ts), pa.array(t)], ["part", "c", "w", "n", "s", "ts", "t"])
 
     return run
 
 
-def _joined(predictive: Predictive, base_of):
-    """row, leaves, and the model's columns (null: unknown) to row, n_known, base, score."""
+def _pair_scores(predictive: Predictive, discount: float, train: int, size: int):
+    """(c, w, n, ts, customers, tables, known, p) to (c, w, n, known, base, score); p is null for an unknown word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unknown = predictive.log10_unknown()
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1 << 14):
-                batch = whole.slice(i, 1 << 14)
-                seen = batch.column(2).is_valid()
-                counts = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
-                probability = np.broadcast_to(unknown, (batch.num_rows, LEAVES)).copy()
-                at = np.flatnonzero(seen.to_numpy(zero_copy_only=False))
-                if len(at):
-                    some = batch.take(pa.array(at))
-                    probability[at] = _probabilities(predictive, [some.column(c) for c in range(3, 8)])
-                leaf, offsets = X.utf8(batch.column(1))
-                times = np.diff(offsets)
-                owner = np.repeat(np.arange(batch.num_rows), times)
-                score = np.bincount(owner, probability[owner, leaf], minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(times * (counts > 0)), pa.array(times * base_of(counts)), pa.array(score)], ["row", "n_known", "base", "score"])
+        unknown = 10.0 ** predictive.log10_unknown().astype(np.float64)
+        for batch in batches:
+            n, ts, customers, tables, known = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(2, 7))
+            p = batch.column(7)
+            leaf = batch.column(0).to_numpy() & (LEAVES - 1)
+            p = np.where(p.is_valid().to_numpy(zero_copy_only=False), p.fill_null(0).to_numpy(zero_copy_only=False), unknown[leaf])
+            own = np.maximum(n - discount * ts / KEPT, 0)
+            score = np.log10((own + (STRENGTH + discount * tables / KEPT) * p) / (STRENGTH + customers))
+            base = np.log10((known + 1) / (train + size + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((known > 0).astype(np.int32)), pa.array(base), pa.array(score)], ["c", "w", "n", "known", "base", "score"])
 
     return run
 
 
+_SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, c long, w long"
+
+
+def _laid_out(part: int, hot):
+    """(row, doc_id, text) to the sums of each text over its hot pairs in the part, and a row for each of its other tokens there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, known, base, score = hot.value
+        for batch in batches:
+            number, m = batch.column(0).to_numpy(), batch.num_rows
+            for first, row, before, word, key in _tokens(batch.column(2), part):
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                owner, at, cold = row[hit], at[hit], np.flatnonzero(~hit)
+                last = int(row.max()) + 1 if len(row) else first
+                k, b, s = (np.bincount(owner - first, x[at], minlength=last - first).astype(np.float64) for x in (known, base, score))
+                n, none = np.bincount(row - first, minlength=last - first), np.zeros(len(cold), np.int64)
+                rows = number[first:last]
+                # Sums have no pair: their row's number spreads them over the join, and no word is 1.
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows, number[row[cold]]])),
+                        pa.concat_arrays([batch.column(1).slice(first, last - first), pa.nulls(len(cold), pa.int64())]),
+                        pa.array(np.concatenate([n, none])),
+                        pa.array(np.concatenate([k, none]).astype(np.int64)),
+                        pa.array(np.concatenate([b, none])),
+                        pa.array(np.concatenate([s, none])),
+                        pa.array(np.concatenate([rows, before[cold].view(np.int64)])),
+                        pa.array(np.concatenate([np.ones(len(rows), np.int64), word[cold].view(np.int64)])),
+                    ],
+                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "c", "w"],
+                )
+
+    return run
+
+
+def _hot(scored: DataFrame, hot_words: int) -> tuple[np.ndarray, ...]:
+    """Keys in order, known, base and score of the most frequent pairs."""
+    counts = scored.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().toPandas().sort_values("n", ascending=False)
+    fitting = counts[(counts["count"].cumsum() <= hot_words) & (counts["n"] > 0)]
+    least = int(fitting["n"].min()) if len(fitting) else 1 << 62
+    table = scored.where(F.col("n") >= least).toArrow()
+    keys = pair_keys(*(table[x].to_numpy().view(np.uint64) for x in ("c", "w")))
+    order = np.argsort(keys)
+    return keys[order], *(table[x].to_numpy()[order] for x in ("known", "base", "score"))
+
+
 def score_texts(spark: SparkSession, docs: DataFrame, hot_words: int = HOT_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -453,63 +528,104 @@ def score_texts(spark: SparkSession, docs: DataFrame, hot_words: int = HOT_WORDS
     rows give no rows.
     """
     stages = Stages(spark, "language-model")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    counted = rows.where(~held_out).select("text").mapInArrow(_counted, "word binary, counts binary")
-    # A word's rows, one for each task that met it, come together in order; no list of them is made.
-    together = counted.repartition("word").sortWithinPartitions("word")
-    words = stages.keep(together.mapInArrow(_merged, "word binary, n long, found array<struct<leaf:int,n:bigint>>"))
-    entry = words.select(F.explode("found").alias("x")).select("x.*")
-    by_leaf = entry.groupBy("leaf").agg(F.sum("n").alias("c"), F.count("*").alias("t"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2")).collect()
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2")).first()
-    train, size = int(total["n"] or 0), int(total["v"])
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = stages.keep(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out")))
+    pairs = [stages.keep(rows.select("text", "held_out").mapInArrow(_paired(i), "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n"))) for i in range(PASSES)]
+    leaf = F.col("c").bitwiseAND(LEAVES - 1).alias("leaf")
+
+    def every(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    all_pairs = every([p.withColumn("part", F.lit(i)) for i, p in enumerate(pairs)])
+    seen = all_pairs.where("n > 0")
+    # Of each word in each leaf: tokens, pairs, and pairs that are seated anew; no pairs if only held-out texts ask for it.
+    by_leaf = stages.keep(all_pairs.groupBy("w", leaf).agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("dishes"), F.count(F.when(F.col("n") == 1, 1)).alias("lone")))
+    found = F.array_sort(F.collect_list(F.when(F.col("dishes") > 0, F.struct("leaf", F.col("dishes").alias("n")))))
+    words = by_leaf.groupBy("w").agg(F.sum("n").alias("n"), found.alias("found"), F.collect_list("leaf").alias("asked"), F.max(F.col("dishes") > F.col("lone")).alias("varied")).where("n > 0")
+    words = stages.keep(words.select(F.col("w").cast("string").cast("binary").alias("word"), "n", "found", "asked", "w", "varied"))
 
     def discount(n1: int, n2: int) -> float:
         """Of counts of counts, away from 0 and 1."""
         return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
 
-    discounts = discount(sum(r["n1"] for r in by_leaf), sum(r["n2"] for r in by_leaf)), discount(total["n1"], total["n2"])
+    def ones_and_twos(df: DataFrame, of: str) -> float:
+        x = df.agg(F.count(F.when(F.col(of) == 1, 1)).alias("n1"), F.count(F.when(F.col(of) == 2, 1)).alias("n2")).first()
+        return discount(x["n1"], x["n2"])
+
+    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    train, size = int(total["n"] or 0), int(total["v"])
+    d0, discounts = ones_and_twos(seen, "n"), (ones_and_twos(by_leaf, "dishes"), ones_and_twos(words.select(F.size("found").alias("k")), "k"))
+
+    contexts = seen.groupBy("c").agg(F.count("*").alias("t"), F.count(F.when(F.col("n") == 1, 1)).alias("s"))
+    state = stages.keep(seen.where("n > 1").join(contexts.where("t > s"), "c").select("part", "c", "w", "n", "s", F.lit(0).cast("long").alias("ts"), "t"))
+    tables = None  # of contexts; at first they stand in the state
+    fixed, varied = words.where("not varied").select("word", "n", "found", "asked"), stages.keep(words.where("varied").select("word", "n", "found", "asked", "w"))
+    lone = stages.keep(by_leaf.join(varied.select("w"), "w", "left_semi").where("dishes > 0").select("w", "leaf", F.col("lone").alias("t")))
     customers = np.zeros(LEAVES)
-    for r in by_leaf:
-        customers[r["leaf"]] = r["c"]
+    singles = np.zeros(LEAVES)
+    for r in by_leaf.groupBy("leaf").agg(F.sum("dishes").alias("t"), F.sum("lone").alias("s")).collect():
+        customers[r["leaf"]], singles[r["leaf"]] = r["t"], r["s"]
     history: list[Totals] = []
-    done, seated = 0, words
+    by_sweep: list[str] = []
     for number in range(SWEEPS + 1):
-        if number == SWEEPS - KEPT:  # seats are stored once, before the sweeps that count
-            done, seated = number, stages.keep(words.mapInArrow(_seated(history), "word binary, n long, found array<struct<leaf:int,n:bigint>>, t1 array<double>, t2 array<double>, t3 double"))
-        sums = seated.mapInArrow(_swept(history, done), "place int, tables double").groupBy("place").agg(F.sum("tables").alias("tables")).collect()
-        tables = np.zeros(LEAVES + MIDDLES + 1)
+        upper = [fixed.select("word", "n", "found"), varied.select("word", "n", "found", *by_sweep)]
+        sums = every([u.mapInArrow(_swept(history), "place int, tables double") for u in upper]).groupBy("place").agg(F.sum("tables").alias("tables")).collect()
+        t = np.zeros(LEAVES + MIDDLES + 1)
         for r in sums:
-            tables[r["place"]] = r["tables"]
-        history.append(Totals(customers, tables[:LEAVES], tables[LEAVES:-1], tables[-1], discounts, size))
-    model = stages.keep(seated.mapInArrow(_learnt(history, done), _MODEL))
-
-    counts = words.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().toPandas().sort_values("n", ascending=False)
-    fitting = counts[counts["count"].cumsum() <= hot_words]
-    least = int(fitting["n"].min()) if len(fitting) else 1 << 62
-    hot = model.where(F.col("n") >= least).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, hot.schema) as writer:
-        writer.write_table(hot)
-    held, predictive = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), Predictive(history[-KEPT:])
-
-    def base_of(counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (train + size + 1))
-
-    laid = stages.keep(rows.mapInArrow(_laid_out(stages.root, held, predictive, base_of), _LAID))
-    held.unpersist()
-    others = model.where(F.col("n") < least)
-    cold = laid.where("kind = 1").select("row", "word", "leaves").join(others, "word", "left").select("row", "leaves", "n", "leaf", "leaf_own", "mid", "mid_own", "root")
-    rest = cold.mapInArrow(_joined(predictive, base_of), "row long, n_known long, base double, score double").groupBy("row").agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
-    out = laid.where("kind = 0").drop("kind", "word", "leaves").join(rest, "row", "left").na.fill(0, ["k", "b", "s"])
-    score = F.col("score") + F.col("s")
+            t[r["place"]] = r["tables"]
+        history.append(Totals(customers, t[:LEAVES], t[LEAVES:-1], t[-1], discounts, size))
+        if number == SWEEPS:
+            break
+        parents = upper[1].mapInArrow(_parents(history), "word binary, leaf long, p double").select(F.col("word").cast("string").cast("long").alias("w"), "leaf", "p")
+        given = state if tables is None else state.drop("t").join(tables, "c")
+        given = given.withColumn("leaf", leaf).join(parents, ["w", "leaf"]).select("part", "c", "w", "n", "s", "ts", "t", "p")
+        after = stages.keep(given.mapInArrow(_reseated(d0, number), "part int, c long, w long, n long, s long, ts long, t long"))
+        stages.drop(state)
+        state, tables = after, after.groupBy("c").agg((F.first("s") + F.sum("t")).alias("t"))
+        in_leaves = state.groupBy("w", leaf).agg(F.sum("t").alias("t")).unionByName(lone).groupBy("w", "leaf").agg(F.sum("t").alias("t"))
+        lists = in_leaves.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("leaf", "t"))).alias("x")).select("w", F.col("x.t").alias(f"c{number}"))
+        by_sweep.append(f"c{number}")
+        after = stages.keep(varied.join(lists, "w").select("word", "n", "found", "asked", "w", *by_sweep))
+        stages.drop(varied)
+        varied, customers = after, singles.copy()
+        for r in state.groupBy(leaf).agg(F.sum("t").alias("t")).collect():
+            customers[r["leaf"]] += r["t"]
+
+    predictive = Predictive(history[-KEPT:])
+    answers = every([u.mapInArrow(_answers(history, predictive), "word binary, leaf long, known long, p double") for u in (fixed, varied.drop("w"))])
+    answers = stages.keep(answers.select(F.col("word").cast("string").cast("long").alias("w"), "leaf", "known", "p"))
+    lone_pairs = all_pairs.where("n < 2").select("part", "c", "w", "n", (F.col("n") * KEPT).alias("ts"))
+    seated = lone_pairs.unionByName(state.select("part", "c", "w", "n", "ts"))
+    contexts = stages.keep(seated.groupBy("c").agg(F.sum("n").alias("customers"), F.sum("ts").alias("tables")))
+    stages.drop(words, by_leaf, lone, varied)
+    scored = []
+    for i in range(PASSES):
+        mine = pairs[i].where("n < 2").select("c", "w", "n", (F.col("n") * KEPT).alias("ts")).unionByName(state.where(F.col("part") == i).select("c", "w", "n", "ts"))
+        met = mine.join(contexts, "c").withColumn("leaf", leaf).join(answers, ["w", "leaf"], "left").select("c", "w", "n", "ts", "customers", "tables", "known", "p")
+        scored.append(stages.keep(met.mapInArrow(_pair_scores(predictive, d0, train, size), "c long, w long, n long, known int, base double, score double")))
+        stages.drop(pairs[i])
+    stages.drop(contexts, answers, state)
+    hot = spark.sparkContext.broadcast(_hot(every(scored), hot_words))
+    sums = []
+    for i in range(PASSES):
+        laid = rows.select("row", "doc_id", "text").mapInArrow(_laid_out(i, hot), _SUMS)
+        other = scored[i].select("c", "w", F.col("known").alias("k"), F.col("base").alias("b"), F.col("score").alias("s"))
+        met = laid.join(other, ["c", "w"], "left").na.fill(0, ["k", "b", "s"])
+        sums.append(stages.keep(met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("n_tokens")).alias("n_tokens"), F.sum(F.col("n_known") + F.col("k")).alias("n_known"), F.sum(F.col("base") + F.col("b")).alias("base"), F.sum(F.col("score") + F.col("s")).alias("score"))))
+        stages.drop(scored[i])
+    hot.unpersist()
+    out = every(sums).groupBy("row").agg(*[f(c).alias(c) for f, c in ((F.max, "doc_id"), (F.sum, "n_tokens"), (F.sum, "n_known"), (F.sum, "base"), (F.sum, "score"))])
     return out.select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.col("k")).alias("n_known"),
+        "n_known",
         F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("b")).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        F.col("base").alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -223,6 +223,26 @@ def test_language_model_sums_to_one():
     assert np.allclose(mass, 1, atol=1e-4)
 
 
+def test_language_model_knows_the_word_before(spark):
+    """Words that end alike share a leaf; what follows them is told apart all the same."""
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(d, "redxy left" if i % 2 else "bluexy right") for i, d in enumerate(learnt)] + list(zip(held, ["redxy left", "redxy right"], strict=True))
+    got = {r.doc_id: r for r in pitman_yor.score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert pitman_yor.leaf_of(b"redxy") == pitman_yor.leaf_of(b"bluexy")
+    assert got[held[0]].score > got[held[1]].score + 1
+    assert got[held[0]].held_out and got[held[0]].n_known == got[held[1]].n_known == 3
+
+
+def test_identities_end_in_leaves():
+    import pyarrow as pa
+
+    texts = ["", "A bc  def", " x\ty ", "\u00e9t\u00e9 a"]
+    ids, at = pitman_yor.identities(*pitman_yor.X.utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert [int(x) % pitman_yor.LEAVES for x in ids[at[i] : at[i + 1]]] == [pitman_yor.leaf_of(w) for w in pitman_yor.tokens_of(t.encode())]
+
+
 def test_exact_dedup(spark, docs, texts):
     long = "Zeile " * 40_000
     odd = {1000: long, 1001: long.upper(), 1002: long + "x", 1003: None, 1004: "", 1005: "É", 1006: "é", 1007: "A", 1008: "a"}
