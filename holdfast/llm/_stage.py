@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,22 +39,25 @@ class Stages:
         self.paths: dict[int, str] = {}
         self.count = 0
 
+    @contextlib.contextmanager
+    def clean(self) -> Iterator[None]:
+        """Queries that run meanwhile remove their shuffle files when they end."""
+        was = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_CLEANUP, was)
+
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        self.release()
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", codec).parquet(path)
+        with self.clean():
+            df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
-    def release(self) -> None:
-        """Lets the shuffle files of finished steps go: the driver drops them once it finds their plans unused."""
-        for _ in range(2):  # objects that hold others go first
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.1)
-
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:

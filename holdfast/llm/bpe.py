@@ -347,7 +347,6 @@ def encode_decode(
     # Only words that are not hot are joined; a row is one word of one text with all its places.
     cold = rows.mapInArrow(_cold(pattern, hot, stages.root), "key binary, word string, places binary")
     found = stages.keep(cold.join(others.select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("places", "ids")).alias("found")))
-    stages.release()
     whole = rows.mapInArrow(_packed, "key binary, doc_id long, data binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     return whole.join(found, "key", "left").select("doc_id", "data", "found").mapInArrow(_finished(ranks, pattern, hot, stages.root, with_ids), schema)

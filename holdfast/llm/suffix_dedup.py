@@ -339,7 +339,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", key
     judged = stages.keep(together.mapInArrow(_sorted_runs, "id binary, mask long"))
     marks = found.select("key", "place", "id").join(judged.hint("merge"), "id").groupBy("key").agg(F.collect_set(F.struct("place", "mask")).alias("marks"))
     marks = stages.keep(marks)
-    stages.release()
     whole = rows.mapInArrow(_packed, "key binary, doc_id long, data binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return whole.join(marks.hint("merge"), "key", "left").select("doc_id", "data", "marks").mapInArrow(_cut(with_text), schema)
