@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding over a global table of distinct words.
 
-Words are the matches of the published pattern.  All distinct words of the corpus
-are gathered by one shuffle with map-side combining, and each is encoded once.
-The most frequent of them, at most `hot_words`, go to every task: they would
-otherwise be hot join keys, and a table of bounded size is safe to broadcast.  All
-other words are exploded with their positions, joined with the table of distinct
-words, gathered by text, and put back by position.  Decoding joins each word's
-ids with the table of token bytes.
+Words are the matches of the published pattern.  Each task cuts its texts into words
+once, and writes them as blocks: the distinct words of some megabytes of text, and
+for each text the places of its words among them.  The blocks' words are exploded
+with their places, and one shuffle with map-side combining makes the table of all
+distinct words, each of which is encoded once.  Decoding joins its ids with the table
+of token bytes.  What is made of a word is joined back to the blocks that hold it, and
+each text is put together by the places of its words.  No text moves, and the most
+frequent word of the corpus has one row for each block.
 
 Texts are first cut at single spaces between other characters, where the pattern
 always starts a new match, so that a piece is cut into words once for all its
-occurrences in a task.
+occurrences in a block.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ import base64
 import functools
 import hashlib
 import re
-import struct
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +27,14 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import _text as X
-from holdfast.llm._stage import Held, Stages
+from holdfast.llm._stage import Stages
 
-#: Distinct words whose ids each task holds, distinct pieces counted before a task passes counts on,
-#: distinct pieces and words it remembers, and texts it takes in hand at once.
-HOT_WORDS, GATHERED, PIECES, TEXTS = 1 << 19, 1 << 18, 1 << 17, 512
+#: Pieces of text, and distinct ones, after which a block ends.
+PIECES, DISTINCT = 1 << 20, 1 << 19
 
 #: White space other than the space and the newline; a space between other characters.
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -62,291 +58,167 @@ def words_of(piece: str, cut) -> list[str]:
     return cut(piece[1:] if piece[:1] == " " else " " + piece)
 
 
-@functools.cache
-def _encoder(ranks: bytes) -> tiktoken.Encoding:
-    """Each word is encoded by itself: the pattern takes any text as one piece."""
-    return tiktoken.Encoding("ranks", pat_str=r"(?s:.)+", mergeable_ranks=_table(ranks), special_tokens={})
+def _ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
 @functools.cache
-def _table(ranks: bytes) -> dict[bytes, int]:
-    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
+def _encoder(data: bytes) -> tiktoken.Encoding:
+    """Each word is encoded by itself: the pattern takes any text as one piece."""
+    return tiktoken.Encoding("ranks", pat_str=r"(?s:.)+", mergeable_ranks=_ranks(data), special_tokens={})
 
 
-@functools.cache
-def _pattern(pattern: str) -> regex.Pattern:
-    return regex.compile(pattern)
+class _Numbers(dict):
+    """key -> its number, in order of appearance."""
 
-
-@functools.cache
-def _token_bytes(ranks: bytes) -> list[bytes]:
-    by_rank = {rank: token for token, rank in _table(ranks).items()}
-    return [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return ["" if t is None else t for t in column.to_pylist()]
+def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + counts[0] - 1, starts[1], ..."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of TEXTS rows at most."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, TEXTS):
-            yield batch.slice(i, TEXTS)
+class _Block:
+    """Texts cut into pieces, and the distinct pieces so far."""
 
+    def __init__(self):
+        self.pieces, self.keys, self.texts, self.size = _Numbers(), [], [], 0
 
-def _counted(pattern: str):
-    """Distinct words with their counts, gathered over many texts first."""
+    def add(self, key: int | None, text: str) -> None:
+        number = self.pieces.__getitem__
+        self.keys.append(key)
+        self.texts.append(np.array([number(p) for p in pieces_of(text)], np.int32))
+        self.size += len(self.texts[-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = _pattern(pattern).findall, Counter()
+    def row(self, cut) -> pa.RecordBatch:
+        """keys, words of each text (int32), the places of these words in `words` (uint32), words."""
+        words, flat, counts = _Numbers(), [], []
+        for piece in self.pieces:
+            found = words_of(piece, cut)
+            counts.append(len(found))
+            flat += [words[w] for w in found]
+        flat, counts = np.array(flat, np.uint32), np.array(counts, np.int64)
+        pieces = np.concatenate(self.texts)
+        places = flat[_spread(counts[pieces], (np.cumsum(counts) - counts)[pieces])]
+        ends = np.cumsum([len(t) for t in self.texts])
+        sizes = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(counts[pieces])])[ends]])).astype(np.int32)
+        columns = [pa.array([self.keys], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["keys", "sizes", "places", "words"])
 
-        def rows() -> pa.RecordBatch:
-            words: dict[str, int] = {}
-            for piece, n in seen.items():
-                for word in words_of(piece, cut):
-                    words[word] = words.get(word, 0) + n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
+def _blocks(pattern: str, pieces: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, block = regex.compile(pattern).findall, _Block()
         with X.without_cycles():
-            for batch in _few(batches):
-                for text in _texts(batch.column(0)):
-                    seen.update(pieces_of(text))
-                    if len(seen) > GATHERED:
-                        yield rows()
-            if seen:
-                yield rows()
+            for batch in batches:
+                texts = batch.column(1)
+                for i, key in enumerate(batch.column(0).to_pylist()):
+                    block.add(key, texts[i].as_py() or "")
+                    if block.size >= pieces or len(block.pieces) >= DISTINCT:
+                        yield block.row(cut)
+                        block = _Block()
+            if block.keys:
+                yield block.row(cut)
 
     return run
 
 
 def _encoded(ranks):
-    """(word, n) to (word, n, ids), ids as uint32 bytes."""
+    """word to (word, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks.value).encode_ordinary
         for batch in batches:
-            ids = [np.array(encode(w), np.uint32).tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
     return run
 
 
-def distinct_words(spark: SparkSession, stages: Stages, rows: DataFrame, ranks, pattern: str) -> DataFrame:
-    """The table (word, n, ids) of all distinct words of the column text."""
-    counted = rows.select("text").mapInArrow(_counted(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return stages.keep(counted.mapInArrow(_encoded(ranks), "word string, n long, ids binary"))
-
-
-def parted(words: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
-    """The most frequent words, all with at least the least count that no more than `most` words reach, and the rest."""
-    counts = words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().toPandas().sort_values("n", ascending=False)
-    fitting = counts[counts["count"].cumsum() <= most]
-    least = int(fitting["n"].min()) if len(fitting) else None
-    if least is None:
-        return words.where("false").select("word", "ids").toArrow(), words
-    return words.where(F.col("n") >= least).select("word", "ids").toArrow(), words.where(F.col("n") < least)
-
-
-def _as_arrow_bytes(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-_held_ids, _held_words = Held(), Held()
-
-
-def _hot(name: str, hot) -> dict[str, bytes]:
-    def load() -> dict[str, bytes]:
-        _held_words.get("", lambda: None)  # made of the table that goes
-        table = pa.ipc.open_stream(hot.value).read_all()
-        return dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
-
-    return _held_ids.get(name, load)
-
-
-def _row_key(doc: int | None, text: str) -> bytes:
-    """Names a row by what it holds, so that a repeated task names it alike; equal rows share a name and their ids."""
-    return xxhash.xxh3_128_digest(b"%d:" % (-1 if doc is None else doc) + text.encode())[:12]
-
-
-class _Pieces(dict):
-    """piece -> its words that are not hot, with their numbers."""
-
-    def __init__(self, known: dict[str, bytes], cut):
-        super().__init__()
-        self.known, self.cut = known, cut
-
-    def __missing__(self, piece: str) -> tuple[tuple[int, str], ...]:
-        known, words = self.known, words_of(piece, self.cut)
-        for word in words:
-            if word not in known:
-                break
-        else:
-            self[piece] = ()
-            return ()
-        self[piece] = out = tuple([(i, w) for i, w in enumerate(words) if w not in known])
-        return out
-
-
-def _cold(pattern: str, hot, name: str):
-    """key, word, places for every word of every text that is not hot; a place is a piece's and a word's number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _Pieces(_hot(name, hot), _pattern(pattern).findall)
-        with X.without_cycles():
-            for batch in _few(batches):
-                yield rows(batch, pieces)
-
-    def rows(batch: pa.RecordBatch, pieces: _Pieces) -> pa.RecordBatch:
-        keys, words, places = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-            missing: dict[str, list[int]] = {}
-            for place, cold in [x for x in enumerate([pieces[p] for p in pieces_of(text)]) if x[1]]:
-                for i, word in cold:
-                    missing.setdefault(word, []).extend((place, i))
-            if missing:
-                keys += [_row_key(doc, text)] * len(missing)
-                words += missing
-                places += [struct.pack(f"={len(p)}I", *p) for p in missing.values()]
-            if len(pieces) > PIECES:
-                pieces.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.string()), pa.array(places, pa.binary())], ["key", "word", "places"])
-
-    return run
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, for they move once."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in _few(batches):
-        texts = _texts(batch.column(1))
-        keys = [_row_key(d, t) for d, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0), pa.array([pack(t.encode()) for t in texts], pa.binary())], ["key", "doc_id", "data"])
-
-
-#: ids in decimal joined by spaces, their number, and their bytes
-Made = tuple[bytes, int, bytes]
-
-
-class _Words(dict):
-    """hot word -> what is made of its ids; None for others.  Kept from task to task."""
-
-    def __init__(self, ids: dict[str, bytes], token: list[bytes]):
-        super().__init__()
-        self.raw, self.token, self.names = ids, token, [b"%d" % i for i in range(len(token))]
-
-    def made(self, raw: bytes) -> Made:
-        if len(raw) == 4:
-            (one,) = struct.unpack("=I", raw)
-            return self.names[one], 1, self.token[one]
-        ids = struct.unpack(f"={len(raw) // 4}I", raw)
-        return b" ".join([self.names[i] for i in ids]), len(ids), b"".join([self.token[i] for i in ids])
-
-    def __missing__(self, word: str) -> Made | None:
-        raw = self.raw.get(word)
-        if raw is None:
-            return None
-        self[word] = out = self.made(raw)
-        return out
-
-
-def _words(name: str, hot, ranks: bytes) -> _Words:
-    ids = _hot(name, hot)
-    return _held_words.get(name, lambda: _Words(ids, _token_bytes(ranks)))
-
-
-def _joined(parts: list[Made]) -> Made:
-    return b" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
-
-
-class _Ready(dict):
-    """piece -> what is made of its words; None if not all are hot."""
-
-    def __init__(self, words: _Words, cut):
-        super().__init__()
-        self.words, self.cut = words, cut
-
-    def __missing__(self, piece: str) -> Made | None:
-        cut = words_of(piece, self.cut)
-        if len(cut) == 1:
-            out = self.words[cut[0]]
-        else:
-            parts = [self.words[w] for w in cut]
-            out = None if None in parts else _joined(parts)
-        self[piece] = out
-        return out
-
-    def with_found(self, piece: str, found: dict[int, bytes]) -> Made:
-        return _joined([self.words.made(found[i]) if i in found else self.words[w] for i, w in enumerate(words_of(piece, self.cut))])
-
+def encode_words(words: DataFrame, ranks) -> DataFrame:
+    """Distinct words with their ids."""
+    return words.distinct().mapInArrow(_encoded(ranks), "word string, ids array<int>")
+
+
+def decode_words(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(word, bytes) of words with ids: a join with the table of token bytes, which is as large as the vocabulary and goes to every task."""
+    tokens = spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "token": pa.array(list(ranks), pa.binary())}))
+    found = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(tokens), "id")
+    parts = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("parts"))
+    return parts.select("word", F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p["token"])).alias("bytes"))
+
+
+def _assembled(with_ids: bool):
+    """Rows of a block in order, first (place -1) its texts, then what is made of its words, to a row for each text."""
+
+    def rows(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        keys, sizes, places = (table[c][0].as_py() for c in ("keys", "sizes", "places"))
+        n = table["n"].slice(1).to_numpy()
+        names, tokens = (table[c].slice(1).to_pylist() for c in ("names", "bytes"))
+        sizes, places = np.frombuffer(sizes, np.int32), np.frombuffer(places, np.uint32)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(n[places])]) if len(places) else np.zeros(1, np.int64)
+        counts = total[ends] - total[ends - sizes]
+        for i in range(0, len(keys), 1024):  # texts with their ids are given on in parts
+            shas, decoded, ids, texts = [], [], [], []
+            for a, b in zip((ends - sizes)[i : i + 1024].tolist(), ends[i : i + 1024].tolist(), strict=True):
+                mine = places[a:b].tolist()
+                decimal, back = " ".join([names[p] for p in mine]).encode(), b"".join([tokens[p] for p in mine])
+                shas.append(hashlib.sha256(decimal).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
+                if with_ids:
+                    ids.append(np.array(decimal.split(), np.int32))
+                    texts.append(back.decode("utf-8", "replace"))
+            columns = [pa.array(keys[i : i + 1024], pa.int64()), pa.array(counts[i : i + 1024], pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+            named = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                named += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, named)
 
-def _finished(ranks, pattern: str, hot, name: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _Ready(_words(name, hot, ranks.value), _pattern(pattern).findall)
-        with X.without_cycles():
-            for batch in _few(batches):
-                yield finished(batch, ready)
-
-    def finished(batch: pa.RecordBatch, ready: _Ready) -> pa.RecordBatch:
-        unpack = zstandard.ZstdDecompressor().decompress
-        counts, shas, decoded, all_ids, texts = [], [], [], [], []
-        for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            pieces = pieces_of(unpack(data).decode())
-            parts = [ready[p] for p in pieces]
-            cold: dict[int, dict[int, bytes]] = {}
-            for one in found or ():
-                places = struct.unpack(f"={len(one['places']) // 4}I", one["places"])
-                for place, i in zip(places[::2], places[1::2], strict=True):
-                    cold.setdefault(place, {})[i] = one["ids"]
-            for place, words in cold.items():
-                parts[place] = ready.with_found(pieces[place], words)
-            decimals, numbers, own = zip(*parts, strict=True)
-            ids = b" ".join(decimals if numbers[0] else decimals[1:])  # only the first piece can be empty
-            back = b"".join(own)
-            counts.append(sum(numbers))
-            shas.append(hashlib.sha256(ids).hexdigest())
-            decoded.append(hashlib.sha256(back).hexdigest())
-            if with_ids:
-                all_ids.append([int(i) for i in ids.split()])
-                texts.append(back.decode("utf-8", "replace"))
-            if len(ready) > PIECES:
-                ready.clear()
-            if len(ready.words) > PIECES:
-                ready.words.clear()
-        columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-        named = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if with_ids:
-            columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            named += ["ids", "decoded"]
-        return pa.RecordBatch.from_arrays(columns, named)
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.schema.get_field_index("place")).to_numpy() < 0).tolist()
+            for a, b in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                if a in starts and parts and a < b:
+                    yield from rows(parts)
+                    parts = []
+                if a < b:
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from rows(parts)
 
     return run
 
 
 def encode_decode(
-    spark: SparkSession, docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, hot_words: int = HOT_WORDS, with_ids: bool = False, text: str = "text", key: str = "doc_id"
+    spark: SparkSession, docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, pieces: int = PIECES, with_ids: bool = False, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids the ids and the decoded text.
 
     ids are those of the rank file, each match of the pattern encoded by itself,
     without special tokens.  Null text counts as empty: no ids.  Rows that repeat
     a key, or have none, are encoded each by itself.  Other columns play no part;
-    no rows give no rows.  The rank file is read on the driver.
+    no rows give no rows.  The rank file is read on the driver.  A task holds one
+    block, or one longer text, and what is made of its words.
     """
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-        ranks = spark.sparkContext.broadcast(file.read())
+        data = file.read()
+    ranks = spark.sparkContext.broadcast(data)
     stages = Stages(spark, "bpe")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    words = distinct_words(spark, stages, rows, ranks, pattern)
-    frequent, others = parted(words, hot_words)
-    hot = spark.sparkContext.broadcast(_as_arrow_bytes(frequent))
-    # Only words that are not hot are joined; a row is one word of one text with all its places.
-    cold = rows.mapInArrow(_cold(pattern, hot, stages.root), "key binary, word string, places binary")
-    found = stages.keep(cold.join(others.select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("places", "ids")).alias("found")))
-    whole = rows.mapInArrow(_packed, "key binary, doc_id long, data binary")
+    blocks = rows.mapInArrow(_blocks(pattern, pieces), "keys array<long>, sizes binary, places binary, words array<string>")
+    blocks = stages.keep(blocks.withColumn("block", F.monotonically_increasing_id()))
+    encoded = stages.keep(encode_words(blocks.select(F.explode("words").alias("word")), ranks))
+    ids = encoded.select("word", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("names"))
+    made = stages.keep(ids.join(decode_words(spark, encoded, _ranks(data)).hint("merge"), "word"))
+    uses = blocks.select("block", F.posexplode("words").alias("place", "word")).join(made.hint("merge"), "word")
+    texts = blocks.select("block", F.lit(-1).alias("place"), "keys", "sizes", "places")
+    both = texts.unionByName(uses.select("block", "place", "n", "names", "bytes"), allowMissingColumns=True)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return whole.join(found, "key", "left").select("doc_id", "data", "found").mapInArrow(_finished(ranks, pattern, hot, stages.root, with_ids), schema)
+    return both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_assembled(with_ids), schema)

@@ -167,13 +167,13 @@ def tokenizer():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("hot", [1 << 19, 300])
-def test_bpe(spark, docs, texts, tokenizer, hot):
+@pytest.mark.parametrize("pieces", [1 << 20, 300])
+def test_bpe(spark, docs, texts, tokenizer, pieces):
     odd = ["", None, "  a", "a  b \n c ", " ", "\n\n", "it's  '\x1cx  y\xa0z ", "<|endoftext|>", "a b" * 5000, "\U0001f600é́ Ⅷ½"]
     alphabet = list("ab1 .'\n\t  \r\x1c\x85\xa0é½Ⅷ ​ſK\U0001f600\x00")
     odd += ["".join(RNG.choices(alphabet, k=RNG.randint(0, 14))) for _ in range(300)]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
-    got = encode_decode(spark, more, hot_words=hot, with_ids=True).toPandas().set_index("doc_id")
+    got = encode_decode(spark, more, pieces=pieces, with_ids=True).toPandas().set_index("doc_id")
     for d, t in (texts | {5000 + i: t for i, t in enumerate(odd)}).items():
         ids, row = tokenizer.encode_ordinary(t or ""), got.loc[d]
         assert list(row.ids) == ids and row.n_tokens == len(ids)
