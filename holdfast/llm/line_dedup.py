@@ -1,81 +1,196 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-Lines are cut at newlines and tokenised into lower-cased words.  Equal lines are
-one class, whose first line stands for it.  Tokens are ordered by rarity: tokens
-fall into BUCKETS by hash, buckets are ranked by how often their tokens occur in
-all distinct lines, and the ranks, a table of fixed size, go to every task.  The
-order is the same for every line, so that it decides about cost alone.
+Lines are cut at newlines and tokenised into lower-cased words; equal lines are one
+class, which its first line stands for.  Tokens are ordered by rarity: each one's
+hash leads to one of COUNTERS counters of all tokens' occurrences, a table of fixed
+size that goes to every task.  The order is the same for every line, so that it
+decides about cost alone.
 
 With tokens in that order, two sets of Jaccard similarity t or more share a token
-among the first n - ceil(t n) + 1 of each.  These prefixes are joined on the token;
-the length filter and the positional filter discard pairs, the rest is verified on
-the full sets.  A line goes if an earlier line (by key and place) is similar.
+among the first n - ceil(t n) + 1 of the larger one and the first n -
+ceil(2 t n / (1 + t)) + 1 of the smaller.  These prefixes are joined on the token; the
+length filter, the positional filter, and one on 128 parity bits of each set discard
+pairs within the join, the rest is verified on the full sets.
+
+A line goes if an earlier line (by key and place) is similar, whether or not that
+one stays, so that one earlier partner is enough.  A first round compares each line
+with the earliest lines of three tokens of its prefix alone: the rarest, and the last
+two, which near copies share where the rarest are their own.  What it finds asks no
+more, and many near copies of one line cost few pairs among each other.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm._stage import Stages
 
-BUCKETS = 1 << 16
-_GAPS = r"[\x20\x09-\x0D]+"
+#: Counters of token occurrences; parts of the tokens, joined one after another.
+COUNTERS, PASSES = 1 << 18, 2
+_SEGMENT = 4096
+
+
+def _words(line: Column) -> Column:
+    """Lower-cased words between white space; empty ones among them."""
+    for gap in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(gap), F.lit(" "))
+    return F.split(F.lower(line), " ")
 
 
 def _tokens(line: Column) -> Column:
     """Distinct 64-bit token hashes."""
-    return F.transform(F.array_distinct(F.array_remove(F.split(F.lower(line), _GAPS), "")), lambda t: F.xxhash64(t))
-
-
-def _least_overlap(percent: int, n1: Column, n2: Column) -> Column:
-    """The least number of shared tokens with 100 * shared >= percent * union."""
-    return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent) - 1e-9)
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines with two independent 64-bit hashes that name their text."""
-    lines = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(17), "line", F.length("line"))})
-
-
-def similar_lines(spark: SparkSession, stages: Stages, lines: DataFrame, percent: int = 80) -> DataFrame:
-    """(h1, h2, first, gone) for each distinct line: its first place, and whether an earlier line is similar."""
-    at = F.struct("doc_id", "row", "line_no")
-    distinct = stages.keep(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.first("line").alias("line")))
-    words = distinct.select(F.explode(F.array_distinct(F.split(F.lower("line"), _GAPS))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()
-    ranks = [0] * BUCKETS
-    for place, row in enumerate(sorted(counts, key=lambda r: (r["count"], r["bucket"]))):
-        ranks[row["bucket"]] = place
-    rank = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded into one literal
-    # A token's code: 16 bits of its bucket's rank, then the other 47 bits of its hash; codes sort by rarity.
-    code = F.sort_array(F.transform(_tokens(F.col("line")), lambda x: F.shiftleft(rank[x.bitwiseAND(BUCKETS - 1).cast("int")], 47).bitwiseOR(F.shiftrightunsigned(x, 17))))
-    coded = distinct.select("h1", code.alias("codes"))
-    n = F.size("codes")
-    length = n - F.ceil(F.lit(percent) * n / 100 - 1e-9).cast("int") + 1
-    # Which line comes first is looked up for true pairs only: rows of the join are short.
-    prefix = coded.select("h1", n.alias("n"), F.posexplode(F.slice("codes", F.lit(1), length)).alias("place", "code"))
-    a, b = (prefix.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("h1", "n", "place")]) for s in "ab")
-    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))  # tokens from here on
-    before = F.least("a_place", "b_place")
-    likely = (
-        a.join(b, "code")
-        .where(F.col("a_h1") < F.col("b_h1"))
-        .where((100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n")))
-        .where(rest + before >= _least_overlap(percent, F.col("a_n"), F.col("b_n")))
-        .select("a_h1", "b_h1")
-    )
-    pairs = stages.keep(likely.distinct())
-    asked = pairs.select(F.col("a_h1").alias("h1")).union(pairs.select("b_h1")).distinct()
-    sets = stages.keep(distinct.join(asked.hint("merge"), "h1", "left_semi").select("h1", "first", _tokens(F.col("line")).alias("tokens")))
-    one = sets.select(F.col("h1").alias("a_h1"), F.col("first").alias("f"), F.col("tokens").alias("s"))
-    two = sets.select(F.col("h1").alias("b_h1"), F.col("first").alias("g"), F.col("tokens").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    true = pairs.join(one, "a_h1").join(two, "b_h1").where(100 * shared >= percent * (F.size("s") + F.size("t") - shared))
-    gone = true.select(F.greatest("f", "g").alias("first")).distinct().withColumn("gone", F.lit(True))
-    classes = distinct.select("h1", "h2", "first", (F.size(_tokens(F.col("line"))) > 0).alias("worded"))
-    return classes.join(gone, "first", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _least_shared(percent: int, n: Column) -> Column:
+    """The least number of tokens that a set of n shares with a similar one."""
+    return F.floor((F.lit(percent) * n + 99) / 100).cast("int")
+
+
+def _least_shared_smaller(percent: int, n: Column) -> Column:
+    """The same with a similar one of n tokens or more."""
+    return F.floor((F.lit(2 * percent) * n + (99 + percent)) / (100 + percent)).cast("int")
+
+
+def _lines(stages: Stages, docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text) to a written table of lines: at (their order by key, row, place), row, doc_id, line_no, worded, two hashes of the line, and the line if worded."""
+    ordered = docs.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    lines = ordered.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    worded = F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0
+    names = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line", F.length("line")).alias("h2")
+    return stages.keep(lines.select(F.monotonically_increasing_id().alias("at"), "row", "doc_id", "line_no", worded.alias("worded"), *names, F.when(worded, F.col("line")).alias("line")))
+
+
+def _counter(token: Column) -> Column:
+    return token.bitwiseAND(COUNTERS - 1)
+
+
+def _levels(stages: Stages, distinct: DataFrame) -> Column:
+    """For each counter the logarithm of its tokens' occurrences: an array that is folded into one literal."""
+    words = distinct.select(F.explode(_words(F.col("line"))).alias("w")).where("w <> ''")
+    sums = words.groupBy(_counter(F.xxhash64("w")).alias("id")).count()
+    level = F.least(F.lit(93), F.floor(F.log(F.coalesce("count", F.lit(1))) / F.log(F.lit(1.25)))).cast("string")
+    every = stages.spark.range(COUNTERS).join(sums, "id", "left").select("id", level.alias("c"))
+    rows = every.groupBy(F.floor(F.col("id") / _SEGMENT).alias("segment")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda x: x["c"]), ",").alias("levels"))
+    with stages.clean():
+        return F.split(F.lit(",".join(r["levels"] for r in rows.orderBy("segment").collect())), ",").cast("array<bigint>")
+
+
+def _coded(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
+    """(at, n, low, high, prefix): 128 parity bits of the token set; codes of its rarest tokens, by rarity."""
+    levels = _levels(stages, distinct)
+
+    def code(token: Column) -> Column:
+        return F.shiftleft(F.get(levels, _counter(token)), 56).bitwiseOR(F.shiftrightunsigned(token, 8))
+
+    coded = distinct.select("at", F.sort_array(F.transform(_tokens(F.col("line")), code)).alias("codes")).withColumn("n", F.size("codes"))
+    powers, none = [1 << i if i < 63 else -(1 << 63) for i in range(64)], [0] * 64
+    low, high = (F.array(*[F.lit(x).cast("long") for x in table]) for table in (powers + none, none + powers))
+
+    def parity(powers: Column) -> Column:
+        return F.aggregate("codes", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(F.get(powers, c.bitwiseAND(127))))
+
+    bits = parity(low).alias("low"), parity(high).alias("high")
+    return stages.keep(coded.select("at", "n", *bits, F.slice("codes", F.lit(1), F.col("n") - _least_shared(percent, F.col("n")) + 1).alias("prefix")))
+
+
+def _fields(side: str, packed: bool) -> dict[str, Column]:
+    if not packed:
+        return {c: F.col(f"{side}_{c}") for c in ("at", "n", "place", "low", "high")}
+    m = F.col(f"{side}_m")
+    unpacked = {"n": F.shiftright(m, 32), "place": F.shiftright(m.bitwiseAND((1 << 32) - 1), 1), "asks": m.bitwiseAND(1)}
+    return {c: F.col(f"{side}_{c}") for c in ("at", "low", "high")} | unpacked
+
+
+def _may_be_similar(percent: int, packed: bool = False) -> Column:
+    """Of x and y that share the token at their places: length, positional and parity filter."""
+    x, y = (_fields(s, packed) for s in "xy")
+    both = x["n"] + y["n"]
+    most = F.least(x["place"], y["place"]) + F.least(x["n"] - x["place"], y["n"] - y["place"])
+    alike = both - _unlike()  # at least twice the tokens shared
+    sizes = (F.lit(percent) * x["n"] <= 100 * y["n"]) & (F.lit(percent) * y["n"] <= 100 * x["n"])
+    return sizes & ((100 + percent) * alike >= 2 * percent * both) & ((100 + percent) * most >= percent * both)
+
+
+def _unlike() -> Column:
+    """The number of parity bits in which x and y differ: so many tokens at least are in one of them only."""
+    return F.bit_count(F.col("x_low").bitwiseXOR(F.col("y_low"))) + F.bit_count(F.col("x_high").bitwiseXOR(F.col("y_high")))
+
+
+def _asked(percent: int) -> Column:
+    """Each two once, x the larger set, the token in the shorter prefix of y, and no partner known of the later one."""
+    x, y = (_fields(s, True) for s in "xy")
+    ordered = (x["n"] > y["n"]) | ((x["n"] == y["n"]) & (x["at"] > y["at"]))
+    open_ = F.when(x["at"] > y["at"], x["asks"]).otherwise(y["asks"]) == 1
+    return ordered & (y["place"] <= y["n"] - _least_shared_smaller(percent, y["n"])) & open_
+
+
+def _entries(coded: DataFrame) -> DataFrame:
+    """A row for each code of each prefix."""
+    return coded.select("*", F.posexplode("prefix").alias("place", "code")).drop("prefix")
+
+
+def _side(entries: DataFrame, side: str) -> DataFrame:
+    return entries.select("code", *[F.col(c).alias(f"{side}_{c}") for c in entries.columns if c != "code"])
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """(later, earlier, unlike): unlike is the number of parity bits that differ."""
+    return found.select(F.greatest("x_at", "y_at").alias("later"), F.least("x_at", "y_at").alias("earlier"), _unlike().alias("unlike"))
+
+
+def _similar(stages: Stages, distinct: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """at of the later ones of pairs (later, earlier) whose full sets are similar."""
+    asked = pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct()
+    sets = stages.keep(distinct.join(asked.hint("merge"), "at", "left_semi").select("at", _tokens(F.col("line")).alias("tokens")))
+    one = sets.select(F.col("at").alias("later"), F.col("tokens").alias("s"))
+    two = sets.select(F.col("at").alias("earlier"), F.col("tokens").alias("t"))
+    wide = pairs.select("later", "earlier").join(one.hint("merge"), "later").join(two.hint("merge"), "earlier").withColumn("shared", F.size(F.array_intersect("s", "t")))
+    true = wide.where(100 * F.col("shared") >= percent * (F.size("s") + F.size("t") - F.col("shared")))
+    out = stages.keep(true.select(F.col("later").alias("at")).distinct())
+    stages.drop(sets)
+    return out
+
+
+def _verified(stages: Stages, distinct: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The same for pairs (later, earlier, unlike): first the likeliest partner of each, then all others of those that have none yet."""
+    best = stages.keep(pairs.groupBy("later").agg(F.min(F.struct("unlike", "earlier")).alias("y"), F.count("*").alias("all")).select("later", F.col("y.earlier").alias("earlier"), "all"))
+    found = _similar(stages, distinct, best, percent)
+    open_ = best.where("all > 1").join(found.select(F.col("at").alias("later")).hint("merge"), "later", "left_anti")
+    others = stages.keep(pairs.join(open_.select("later", F.col("earlier").alias("tried")).hint("merge"), "later").where("earlier <> tried").select("later", "earlier"))
+    more = _similar(stages, distinct, others, percent)
+    stages.drop(best, others)
+    return found.unionByName(more)
+
+
+def _gone(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
+    """at of the distinct lines that are similar to an earlier one."""
+    coded = _coded(stages, distinct, percent)
+    # First round: the earliest line of each of three tokens.
+    few = _entries(coded.withColumn("last", F.size("prefix") - 2)).where("place = 0 or place >= last").drop("last")
+    head = few.groupBy("code").agg(F.min(F.struct("at", "n", "place", "low", "high")).alias("y")).select("code", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("at", "n", "place", "low", "high")])
+    stars = _side(few, "x").join(head, "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent))
+    found = _similar(stages, distinct, stages.keep(_pairs(stars).groupBy("later").agg(F.min(F.struct("unlike", "earlier")).alias("y")).select("later", "y.earlier")), percent)
+    # Then all others: x is the larger set, or the later one of two of one size; both sides are one shuffle.
+    asks = coded.join(found.withColumn("found", F.lit(True)).hint("merge"), "at", "left").withColumn("asks", F.col("found").isNull().cast("long")).drop("found")
+    asks = stages.keep(asks)
+    stages.drop(coded)
+    parts = []
+    for i in range(PASSES):
+        entries = _entries(asks).where(F.col("code") % PASSES == i)
+        # Sizes and places in one number: shorter rows.
+        entries = entries.select("code", "at", "low", "high", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("asks")).alias("m"))
+        x, y = (_side(entries, s) for s in "xy")
+        pairs = x.join(y.hint("merge"), "code").where(_asked(percent) & _may_be_similar(percent, packed=True))
+        parts.append(stages.keep(_pairs(pairs)))
+    pairs = stages.keep(functools.reduce(DataFrame.unionByName, parts).distinct())
+    stages.drop(asks, *parts)
+    more = _verified(stages, distinct, pairs, percent)
+    stages.drop(pairs)
+    return found.unionByName(more)
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -92,17 +207,16 @@ def removed_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, text:
 
 def _removed(spark: SparkSession, numbered: DataFrame, percent: int) -> DataFrame:
     stages = Stages(spark, "lines")
-    lines = _lines(numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    places = stages.keep(lines.select("row", "doc_id", "line_no", "h1", "h2"))
-    classes = similar_lines(spark, stages, lines, percent)
-    judged = places.join(classes, ["h1", "h2"])
-    later = F.struct(F.col("doc_id"), F.col("row"), F.col("line_no")) > F.col("first")
-    goes = F.col("worded") & (F.col("gone") | later)
-    return judged.groupBy("row", "doc_id").agg(
-        F.count("*").alias("n_lines"),
-        F.count(F.when(goes, 1)).alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(goes, F.col("line_no")))).alias("removed"),
-    )
+    lines = _lines(stages, numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    distinct = stages.keep(lines.where("worded").groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first("line").alias("line")))
+    gone = _gone(stages, distinct, percent).withColumn("gone", F.lit(True))
+    # Only classes of which something goes meet the lines again.
+    marked = distinct.select("h1", "h2", F.col("at").alias("first"), "copies").join(gone.withColumnRenamed("at", "first").hint("merge"), "first", "left").where("gone or copies > 1")
+    out = lines.where("worded").select("row", "line_no", "at", "h1", "h2").join(marked.select("h1", "h2", "first", "gone").hint("merge"), ["h1", "h2"]).where("gone or at > first")
+    by_row = out.groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    rows = lines.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.join(by_row, "row", "left").select("row", "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
