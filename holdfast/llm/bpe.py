@@ -27,14 +27,15 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import _text as X
 from holdfast.llm._stage import Stages
 
-#: Pieces of text, and distinct ones, after which a block ends.
-PIECES, DISTINCT = 1 << 20, 1 << 19
+#: Pieces of text, and distinct ones, after which a block ends; parts of the blocks, put together one after another.
+PIECES, DISTINCT, PARTS = 1 << 22, 1 << 19, 4
 
 #: White space other than the space and the newline; a space between other characters.
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -82,6 +83,19 @@ def _spread(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def packed(keys: list[int | None], sizes: np.ndarray, places: np.ndarray) -> bytes:
+    """The texts of a block: their number, keys (int64), whether these are null, words of each (int32), and the places of these words (uint32, by bytes), compressed."""
+    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return b"".join([np.array([len(keys), *[k or 0 for k in keys]], np.int64).tobytes(), bytes([k is None for k in keys]), sizes.tobytes(), zstandard.compress(planes.tobytes(), 1)])
+
+
+def unpacked(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    keys, null = np.frombuffer(data, np.int64, n, 8).tolist(), data[8 + 8 * n : 8 + 9 * n]
+    planes = np.frombuffer(zstandard.decompress(data[8 + 13 * n :]), np.uint8).reshape(4, -1)
+    return [None if none else k for k, none in zip(keys, null, strict=True)], np.frombuffer(data, np.int32, n, 8 + 9 * n), np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 class _Block:
     """Texts cut into pieces, and the distinct pieces so far."""
 
@@ -95,19 +109,18 @@ class _Block:
         self.size += len(self.texts[-1])
 
     def row(self, cut) -> pa.RecordBatch:
-        """keys, words of each text (int32), the places of these words in `words` (uint32), words."""
+        """texts (see packed), words."""
         words, flat, counts = _Numbers(), [], []
         for piece in self.pieces:
             found = words_of(piece, cut)
             counts.append(len(found))
             flat += [words[w] for w in found]
         flat, counts = np.array(flat, np.uint32), np.array(counts, np.int64)
-        pieces = np.concatenate(self.texts)
-        places = flat[_spread(counts[pieces], (np.cumsum(counts) - counts)[pieces])]
-        ends = np.cumsum([len(t) for t in self.texts])
-        sizes = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(counts[pieces])])[ends]])).astype(np.int32)
-        columns = [pa.array([self.keys], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, ["keys", "sizes", "places", "words"])
+        starts, self.pieces = np.cumsum(counts) - counts, _Numbers()
+        for i, pieces in enumerate(self.texts):
+            self.texts[i] = flat[_spread(counts[pieces], starts[pieces])]
+        sizes, places = np.array([len(t) for t in self.texts], np.int32), np.concatenate(self.texts)
+        return pa.RecordBatch.from_arrays([pa.array([packed(self.keys, sizes, places)], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))], ["texts", "words"])
 
 
 def _blocks(pattern: str, pieces: int):
@@ -155,11 +168,10 @@ def _assembled(with_ids: bool):
     """Rows of a block in order, first (place -1) its texts, then what is made of its words, to a row for each text."""
 
     def rows(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        keys, sizes, places = (table[c][0].as_py() for c in ("keys", "sizes", "places"))
-        n = table["n"].slice(1).to_numpy()
+        table = pa.Table.from_batches(parts)
+        keys, sizes, places = unpacked(table["bytes"][0].as_py())
         names, tokens = (table[c].slice(1).to_pylist() for c in ("names", "bytes"))
-        sizes, places = np.frombuffer(sizes, np.int32), np.frombuffer(places, np.uint32)
+        n = np.array([name.count(" ") + 1 for name in names], np.int64)
         ends = np.cumsum(sizes, dtype=np.int64)
         total = np.concatenate([[0], np.cumsum(n[places])]) if len(places) else np.zeros(1, np.int64)
         counts = total[ends] - total[ends - sizes]
@@ -212,13 +224,18 @@ def encode_decode(
     ranks = spark.sparkContext.broadcast(data)
     stages = Stages(spark, "bpe")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(pattern, pieces), "keys array<long>, sizes binary, places binary, words array<string>")
+    blocks = rows.mapInArrow(_blocks(pattern, pieces), "texts binary, words array<string>")
     blocks = stages.keep(blocks.withColumn("block", F.monotonically_increasing_id()))
     encoded = stages.keep(encode_words(blocks.select(F.explode("words").alias("word")), ranks))
-    ids = encoded.select("word", F.size("ids").cast("long").alias("n"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("names"))
-    made = stages.keep(ids.join(decode_words(spark, encoded, _ranks(data)).hint("merge"), "word"))
-    uses = blocks.select("block", F.posexplode("words").alias("place", "word")).join(made.hint("merge"), "word")
-    texts = blocks.select("block", F.lit(-1).alias("place"), "keys", "sizes", "places")
-    both = texts.unionByName(uses.select("block", "place", "n", "names", "bytes"), allowMissingColumns=True)
+    names = encoded.select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("names"))
+    made = stages.keep(names.join(decode_words(spark, encoded, _ranks(data)).hint("merge"), "word"))
+    stages.drop(encoded)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_assembled(with_ids), schema)
+    out = []
+    for i in range(PARTS):
+        mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == i)
+        uses = mine.select("block", F.posexplode("words").alias("place", "word")).join(made.hint("merge"), "word").select("block", "place", "names", "bytes")
+        both = mine.select("block", F.lit(-1).alias("place"), F.lit(None).cast("string").alias("names"), F.col("texts").alias("bytes")).unionByName(uses)
+        out.append(stages.keep(both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_assembled(with_ids), schema)))
+    stages.drop(blocks, made)
+    return functools.reduce(DataFrame.unionByName, out)
