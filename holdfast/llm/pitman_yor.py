@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import _text as X
@@ -505,12 +505,23 @@ def _laid_out(part: int, hot):
     return run
 
 
+def most_frequent(counted: DataFrame, most: int, name: Column) -> DataFrame:
+    """Rows of the greatest n > 0, `most` at most: whole classes of n by its logarithm, and of the next class a share by the hash of `name`."""
+    grade = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    left, least, share = most, None, 0
+    for r in counted.where("n > 0").groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # eight for each doubling of n
+        if r["count"] > left:
+            share, least = int(900 * left / r["count"]), r["grade"]  # of 1000: below the share that would fit exactly
+            break
+        left, least, share = left - r["count"], r["grade"], 1000
+    if least is None:
+        return counted.where("false")
+    return counted.where((F.col("n") > 0) & ((grade > least) | ((grade == least) & (F.pmod(name, F.lit(1000)) < share))))
+
+
 def _hot(scored: DataFrame, hot_words: int) -> tuple[np.ndarray, ...]:
     """Keys in order, known, base and score of the most frequent pairs."""
-    counts = scored.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().toPandas().sort_values("n", ascending=False)
-    fitting = counts[(counts["count"].cumsum() <= hot_words) & (counts["n"] > 0)]
-    least = int(fitting["n"].min()) if len(fitting) else 1 << 62
-    table = scored.where(F.col("n") >= least).toArrow()
+    table = most_frequent(scored, hot_words, F.xxhash64("c", "w")).toArrow()
     keys = pair_keys(*(table[x].to_numpy().view(np.uint64) for x in ("c", "w")))
     order = np.argsort(keys)
     return keys[order], *(table[x].to_numpy()[order] for x in ("known", "base", "score"))
