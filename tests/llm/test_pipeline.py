@@ -45,3 +45,26 @@ def test_the_last_stage_gives_ids(spark):
     assert got[1].decoded == "Token ids, please." and len(got[1].ids) == got[1].n_tokens > 0
     assert hashlib.sha256(" ".join(map(str, got[1].ids)).encode()).hexdigest() == got[1].ids_sha256
     assert not got[2].ids
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row long, stays boolean"
+SAME, OWN = "one two three four five six seven", "quite another text of its own, with words that are nowhere else"
+
+
+def test_rows_are_told_apart(spark):
+    rows = [(5, SAME), (9, SAME), (5, OWN), (9, SAME), (None, SAME), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, 77, False) for d, t in rows], ODD)
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        left = sorted(((r.doc_id, r.text, r.row) for r in got.collect()), key=str)
+        if stage is corpus_pipeline.drop_exact_copies:
+            assert left == sorted([(9, SAME, 77), (5, OWN, 77), (3, "", 77)], key=str)
+        else:
+            assert left == sorted([(5, SAME, 77), (5, OWN, 77), (None, None, 77), (3, "", 77), (3, "", 77)], key=str)
+
+
+def test_stages_without_rows(spark):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).collect() == []
