@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from holdfast.llm._stage import Stages
 from holdfast.llm.bpe import encode_decode
@@ -17,41 +18,69 @@ from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.minhash_dedup import minhash_dedup
 from holdfast.llm.quality import keep_quality
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Tells rows apart within a stage, for keys may repeat or be null.
+ROW = "_pipeline_row"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents not named by ids.  Rows that share a doc_id go together; rows without one stay."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, in a written table, so that rows keep their numbers."""
+    return Stages(spark, "pipeline-rows").keep(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    return keep_quality(spark, docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier does not reject: those that score THRESHOLD or more.
+
+    Every row is judged by its own text, null as empty; a null key is no
+    hindrance.  All columns stay.  No rows give no rows.
+    """
+    return keep_quality(spark, docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest doc_id."""
-    return _without(docs, exact_dedup(spark, docs).where("not kept"))
+    """Of rows with equal texts one: of the largest doc_id (null the least), and of rows that share it any.
+
+    Null and empty texts are equal.  Rows that share a doc_id but not a text are
+    not copies.  All columns stay.  No rows give no rows.
+    """
+    rows = _numbered(spark, docs)
+    gone = exact_dedup(spark, rows, row=ROW).where("not stays").select(F.col("row").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least doc_id."""
-    return _without(docs, minhash_dedup(spark, docs).where("not kept"))
+    """Of each group of near duplicates one row: of the least doc_id (null the last), and of rows that share it any.
+
+    Texts without words are in no group and all stay.  All columns stay.  No rows
+    give no rows.
+    """
+    rows = _numbered(spark, docs)
+    near = minhash_dedup(spark, rows, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = near.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = near.join(groups, "component_id").join(rows.select(ROW, F.col("doc_id").alias("key")), ROW)
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = members.select(ROW).join(stays, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return decontaminate(spark, docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
+    """Documents that contain no benchmark item.
+
+    Every row is judged by its own text; null and empty texts contain nothing
+    and stay.  All columns stay.  No rows give no rows.
+    """
+    return decontaminate(spark, docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids and the decoded text of each document that is left, with their digests.  Fewer hot words than by default: tasks keep what earlier stages left in memory."""
-    return encode_decode(spark, docs, hot_words=1 << 17, with_ids=True)
+    """The token ids and the decoded text of each document that is left, with their digests: one row per row.
+
+    Null texts have no ids.  No rows give no rows.
+    """
+    return encode_decode(spark, docs, with_ids=True)
 
 
 STAGES = [
