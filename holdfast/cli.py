@@ -91,7 +91,7 @@ def _import(spark, store, source, dry_run, metadata_skip, digest, at_ms) -> dict
     if dry_run:
         return report
     for row in outcomes.where("outcome = 'created'").select("path", "hash", "size_bytes").toLocalIterator():
-        files.install(store, row["path"], row["hash"], row["size_bytes"])
+        files.install(store, row["path"], row["hash"], row["size_bytes"], lambda path: listing.digest_of(path, digest)[0])
     time_ = F.lit(at_ms).cast("long").alias("observed_at_ms")
     seen = hashed.select("source_root", "relative_path", F.lit("imported").alias("kind"), F.col("hash").alias("blob_hash"), "size_bytes", "modified_at_ms", time_, "sequence")
     skipped = classified.where("disposition = 'skip'").select("source_root", "relative_path", F.lit("known").alias("kind"), "blob_hash", "size_bytes", "modified_at_ms", time_, "sequence")

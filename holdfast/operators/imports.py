@@ -103,7 +103,7 @@ def collapsed(observations: DataFrame) -> DataFrame:
     """
     last = F.struct("sequence", "kind", "blob_hash", "size_bytes", "modified_at_ms", "observed_at_ms")
     return observations.groupBy(*KEY).agg(F.max(last).alias("last"), F.min(F.struct("sequence", "observed_at_ms")).alias("first"), F.count("*").alias("n")).select(
-        *KEY, "last.kind", "last.blob_hash", "last.size_bytes", "last.modified_at_ms", F.col("last.observed_at_ms").alias("last_seen_at_ms"), F.col("first.observed_at_ms").alias("first_seen_at_ms"), "n"
+        *KEY, F.col("first.sequence").alias("sequence"), "last.kind", "last.blob_hash", "last.size_bytes", "last.modified_at_ms", F.col("last.observed_at_ms").alias("last_seen_at_ms"), F.col("first.observed_at_ms").alias("first_seen_at_ms"), "n"
     )
 
 
@@ -111,7 +111,7 @@ def upsert_sources(source_files: DataFrame, observations: DataFrame) -> DataFram
     """The next source_files: new keys are inserted, known ones replaced but for id and first time, counts added.
 
     last_seen_at_ms is that of the last observation written, even if an earlier one is later.  New ids follow the
-    largest id in the order of keys.
+    largest id in the order of writing: by the first sequence of a key, and of one sequence by key.
     """
     new = collapsed(observations)
     old = source_files.alias("o")
@@ -119,7 +119,7 @@ def upsert_sources(source_files: DataFrame, observations: DataFrame) -> DataFram
     top = source_files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     here = F.col("n.n").isNotNull()
     merged = joined.select(
-        F.col("o.id").alias("id"), *KEY,
+        F.col("o.id").alias("id"), *KEY, F.col("n.sequence").alias("sequence"),
         F.when(here, F.col("n.blob_hash")).otherwise(F.col("o.blob_hash")).alias("blob_hash"),
         F.when(here, F.col("n.size_bytes")).otherwise(F.col("o.size_bytes")).alias("size_bytes"),
         F.when(here, F.col("n.modified_at_ms")).otherwise(F.col("o.modified_at_ms")).alias("modified_at_ms"),
@@ -131,18 +131,20 @@ def upsert_sources(source_files: DataFrame, observations: DataFrame) -> DataFram
 
 
 def numbered(rows: DataFrame, top: DataFrame) -> DataFrame:
-    """Gives rows without id the next ids in the order of their keys.
+    """Gives rows without id the next ids in the order of sequence, and of one sequence by key; the column sequence goes.
 
-    Rows are counted by hash range of the key first, so that the numbering is a window within each of 4096 ranges and
-    a running sum over the ranges' counts.
+    Rows are counted by 4096 ranges of sequence first, so that the numbering is a window within each range and a
+    running sum over the ranges' counts.
     """
-    slot = F.shiftrightunsigned(F.xxhash64(*KEY), 52)
-    fresh = rows.where("id is null").withColumn("slot", slot)
+    fresh = rows.where("id is null")
+    ends = fresh.agg(F.min("sequence").alias("low"), F.max("sequence").alias("high"))
+    slot = F.floor((F.col("sequence") - F.col("low")) * 4096.0 / (F.col("high") - F.col("low") + 1)).cast("long")
+    fresh = fresh.crossJoin(F.broadcast(ends)).withColumn("slot", slot).drop("low", "high")
     before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = fresh.groupBy("slot").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).select("slot", "before")
-    within = F.row_number().over(Window.partitionBy("slot").orderBy(*KEY))
+    within = F.row_number().over(Window.partitionBy("slot").orderBy("sequence", *KEY))
     given = fresh.withColumn("within", within).join(offsets, "slot").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("before") + F.col("within"))
-    return rows.where("id is not null").unionByName(given.select(*rows.columns))
+    return rows.where("id is not null").unionByName(given.select(*rows.columns)).drop("sequence")
 
 
 def insert_blobs(blobs: DataFrame, records: DataFrame) -> DataFrame:
@@ -181,11 +183,12 @@ def observe_known(source_files: DataFrame, observations: DataFrame) -> DataFrame
 
 
 def write_outcomes(records: DataFrame, blobs: DataFrame, source_files: DataFrame) -> DataFrame:
-    """For each record of a batch: whether its blob and its source row are new, counting earlier records of the batch."""
-    w_blob, w_key = Window.partitionBy("blob_hash").orderBy("sequence"), Window.partitionBy(*KEY).orderBy("sequence")
-    known_b = blobs.select(F.col("hash").alias("blob_hash"), F.lit(True).alias("_b")).distinct()
-    known_s = source_files.select(*KEY, F.lit(True).alias("_s")).distinct()
-    joined = records.join(known_b, "blob_hash", "left").join(known_s, KEY, "left")
-    new_b = F.col("_b").isNull() & (F.row_number().over(w_blob) == 1)
-    new_s = F.col("_s").isNull() & (F.row_number().over(w_key) == 1)
+    """For each record of a batch: whether its blob and its source row are new, counting earlier records of the batch.
+
+    The first record of a content and of a key are grouped minima, combined before they move; sequence is unique.
+    """
+    first_b = records.groupBy("blob_hash").agg(F.min("sequence").alias("first_b")).join(blobs.select(F.col("hash").alias("blob_hash")).distinct(), "blob_hash", "left_anti")
+    first_s = records.groupBy(*KEY).agg(F.min("sequence").alias("first_s")).join(source_files.select(*KEY).distinct(), KEY, "left_anti")
+    joined = records.join(first_b, "blob_hash", "left").join(first_s, KEY, "left")
+    new_b, new_s = (F.coalesce(F.col("sequence") == F.col(c), F.lit(False)) for c in ("first_b", "first_s"))
     return joined.select("sequence", *KEY, "blob_hash", F.when(new_b, "inserted").otherwise("already-present").alias("blob_outcome"), F.when(new_s, "inserted").otherwise("updated").alias("source_outcome"))

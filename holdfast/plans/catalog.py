@@ -74,17 +74,17 @@ def dry_run_first_occurrence(r: Relations) -> DataFrame:
 
 
 _UPSERT = """
-    SELECT coalesce(f.id, (SELECT max(id) FROM chat_files) + row_number() OVER (PARTITION BY f.id IS NULL ORDER BY {order})) AS id, source_root, relative_path, b AS blob_hash, s AS size_bytes, m AS modified_at_ms, CASE WHEN f.id IS NULL THEN fo ELSE -10 END AS first_seen_at_ms, lo AS last_seen_at_ms, n + CASE WHEN f.id IS NULL THEN 0 ELSE 4 END AS seen_count
-    FROM (SELECT source_root, relative_path, arg_max(blob_hash, sequence) AS b, arg_max(size_bytes, sequence) AS s, arg_max_null(modified_at_ms, sequence) AS m, arg_min(observed_at_ms, sequence) AS fo, arg_max(observed_at_ms, sequence) AS lo, count(*) AS n FROM observed GROUP BY ALL)
+    SELECT coalesce(f.id, (SELECT max(id) FROM chat_files) + row_number() OVER (PARTITION BY f.id IS NULL ORDER BY q, source_root, relative_path)) AS id, source_root, relative_path, b AS blob_hash, s AS size_bytes, m AS modified_at_ms, CASE WHEN f.id IS NULL THEN fo ELSE -10 END AS first_seen_at_ms, lo AS last_seen_at_ms, n + CASE WHEN f.id IS NULL THEN 0 ELSE 4 END AS seen_count
+    FROM (SELECT source_root, relative_path, arg_max(blob_hash, sequence) AS b, arg_max(size_bytes, sequence) AS s, arg_max_null(modified_at_ms, sequence) AS m, arg_min(observed_at_ms, sequence) AS fo, arg_max(observed_at_ms, sequence) AS lo, count(*) AS n, min(sequence) AS q FROM observed GROUP BY ALL)
     LEFT JOIN chat_files f USING (source_root, relative_path)"""
 
 
-@query("source_upsert", "SELECT * EXCLUDE (id) FROM (" + _UPSERT.format(order="relative_path") + ")")
+@query("source_upsert", _UPSERT)
 def source_upsert(r: Relations) -> DataFrame:
-    return imports.upsert_sources(r.chat_files(), r.observations()).drop("id")
+    return imports.upsert_sources(r.chat_files(), r.observations())
 
 
-@query("source_upsert_ids", "SELECT count(*) AS rows, count(DISTINCT id) AS ids, min(id) AS least, max(id) - (SELECT max(id) FROM chat_files) AS added FROM (" + _UPSERT.format(order="relative_path") + ")")
+@query("source_upsert_ids", "SELECT count(*) AS rows, count(DISTINCT id) AS ids, min(id) AS least, max(id) - (SELECT max(id) FROM chat_files) AS added FROM (" + _UPSERT + ")")
 def source_upsert_ids(r: Relations) -> DataFrame:
     """Known rows keep their ids; new ones follow the largest without a gap."""
     top = r.chat_files().agg(F.max("id").alias("top"))
@@ -478,9 +478,9 @@ def jsonl_encode(r: Relations) -> DataFrame:
 # Streaming
 
 
-@query("observation_stream_upsert", "SELECT * EXCLUDE (id) FROM (" + _UPSERT.format(order="relative_path") + ")")
+@query("observation_stream_upsert", _UPSERT)
 def observation_stream_upsert(r: Relations) -> DataFrame:
     """The same merge as source_upsert, micro-batch by micro-batch in the order of turns."""
     from holdfast.streaming.observations import upsert_in_batches
 
-    return upsert_in_batches(r.spark, r.chat_files(), r.observations(), "sequence").drop("id")
+    return upsert_in_batches(r.spark, r.chat_files(), r.observations(), "sequence")

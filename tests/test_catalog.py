@@ -146,3 +146,30 @@ def test_entry_has_its_names():
     import __spark_entry__ as e
 
     assert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_change_of_equal_size_is_an_error(tmp_path):
+    from holdfast import store
+    from holdfast.sources.listing import digest_of
+
+    source, held = tmp_path / "a.txt", tmp_path / "store"
+    held.mkdir()
+    source.write_bytes(b"before")
+    for kind in ("blake3", "sha256"):
+        planned, size = digest_of(str(source), kind)
+        source.write_bytes(b"after!")
+        with pytest.raises(OSError, match="changed"):
+            store.install(str(held), str(source), planned, size, lambda path, kind=kind: digest_of(path, kind)[0])
+        source.write_bytes(b"before")
+        assert store.install(str(held), str(source), planned, size, lambda path, kind=kind: digest_of(path, kind)[0])
+        assert not os.listdir(held / "staging")
+
+
+def test_new_ids_follow_the_order_of_writing(spark):
+    from holdfast.operators.imports import upsert_sources
+    from holdfast.schemas import SOURCE_FILES
+
+    keys = ["f", "b", "e", "a", "d", "c"]
+    seen = spark.createDataFrame([("/r", k, "imported", "0" * 64, 1, None, 7, n * 10) for n, k in enumerate(keys)], "source_root string, relative_path string, kind string, blob_hash string, size_bytes long, modified_at_ms long, observed_at_ms long, sequence long")
+    got = upsert_sources(spark.createDataFrame([], SOURCE_FILES), seen).orderBy("id").collect()
+    assert [r.relative_path for r in got] == keys and [r.id for r in got] == [1, 2, 3, 4, 5, 6]
