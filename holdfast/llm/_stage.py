@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,13 +44,16 @@ class Stages:
 
     @contextlib.contextmanager
     def clean(self) -> Iterator[None]:
-        """Queries that run meanwhile remove their shuffle files when they end."""
-        was = self.spark.conf.get(_CLEANUP)
-        self.spark.conf.set(_CLEANUP, "true")
+        """Queries that run meanwhile remove their shuffle files when they end, and give Python batches of some megabytes."""
+        wanted = {_CLEANUP: "true", _BATCH: "8m"}
+        was = {name: self.spark.conf.get(name) for name in wanted}
+        for name, value in wanted.items():
+            self.spark.conf.set(name, value)
         try:
             yield
         finally:
-            self.spark.conf.set(_CLEANUP, was)
+            for name, value in was.items():
+                self.spark.conf.set(name, value)
 
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.count += 1

@@ -194,8 +194,8 @@ def _blocks(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for queries, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sides = []
+            for row in range(batch.num_rows):  # two blocks in hand at a time
+                queries, members, sides = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), []
                 for side in (queries, members):
                     raw, at = X.utf8(pa.array([r["text"] for r in side], pa.string()))
                     sets, o = X.shingle_sets(raw, at, k)

@@ -9,6 +9,7 @@ import base64
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 
 from holdfast.llm import pitman_yor, sharding
@@ -17,6 +18,7 @@ from holdfast.llm.decontaminate import decontaminate, find_contained
 from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.line_dedup import dedup_lines, removed_lines
 from holdfast.llm.minhash_dedup import minhash_dedup
+from holdfast.llm.pitman_yor import most_frequent
 from holdfast.llm.quality import keep_quality, quality_classifier
 from holdfast.llm.secrets import secret_scan
 from holdfast.llm.suffix_dedup import remove_repeats
@@ -304,3 +306,24 @@ def test_counts_of_words_that_run_over_batches():
         assert len({r["word"] for r in out}) == len(out)
         assert {(r["word"], f["leaf"]): f["n"] for r in out for f in r["found"]} == want
         assert all(r["n"] == sum(f["n"] for f in r["found"]) for r in out)
+
+
+def test_many_near_copies_of_one_line(spark):
+    """Each copy has two words of its own; pairs that are compared stay in proportion to the copies."""
+    base = [f"w{i}" for i in range(40)]
+    lines = []
+    for i in range(5000):
+        words = list(base)
+        words[i % 40], words[(i * 7 + 3) % 40] = f"x{i}", f"y{i}"
+        lines.append((i, " ".join(words)))
+    got = removed_lines(spark, spark.createDataFrame(lines, "doc_id long, text string").repartition(3))
+    assert got.groupBy().sum("n_removed").first()[0] == 4999
+
+
+@pytest.mark.parametrize("limit", [10, 12, 13, 5])
+def test_most_frequent_has_no_clamp(spark, limit):
+    """More rows than fit stand above any bound on counts, and are still told apart, or dealt by hash."""
+    counted = spark.createDataFrame([(i, 1 << (21 + i)) for i in range(12)] + [(99, 3)], "w long, n long")
+    assert sorted(r.w for r in most_frequent(counted, limit, F.xxhash64("w")).collect()) == sorted([*range(12)][-limit:] + [99] * (limit == 13))
+    same = spark.range(1000).select(F.col("id").alias("w"), F.lit(1 << 40).alias("n"))
+    assert 200 < most_frequent(same, 500, F.xxhash64("w")).count() <= 500
