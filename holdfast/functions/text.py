@@ -87,6 +87,27 @@ def escape_identity(c: Column) -> Column:
     return _escaped(c, r"[\p{Cc}\p{IsWhite_Space}]")
 
 
+#: One character of UTF-8, or else one byte, where each byte is read as the character of its number.
+_UTF8 = r"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}|[\x80-\xff]"
+
+
+def byte_text(b: Column) -> Column:
+    """Bytes as the characters of their numbers: to be cut and matched as ASCII."""
+    return F.decode(b, "ISO-8859-1")
+
+
+def escape_bytes(b: Column) -> Column:
+    """escape_identity for a name in bytes; bytes that are not UTF-8 become \\xHH as well."""
+
+    def shown(one: Column) -> Column:
+        raw = F.encode(one, "ISO-8859-1")
+        text = raw.cast("string")
+        hexed = F.regexp_replace(F.lower(F.hex(raw)), "(..)", r"\\x$1")
+        return F.when(~F.is_valid_utf8(text) | text.rlike(r"[\p{Cc}\p{IsWhite_Space}]"), hexed).otherwise(text)
+
+    return F.array_join(F.transform(F.regexp_extract_all(byte_text(b), F.lit(_UTF8), F.lit(0)), shown), "")
+
+
 def escape_output(c: Column) -> Column:
     """Control characters only, by code point."""
     coded = lambda ch: F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(ch))), 2, "0"))

@@ -10,9 +10,10 @@ from holdfast.functions import text as T
 FINDING = ["category", "sort_identity", "identity", "details"]
 
 
-def finding(df: DataFrame, category: str | Column, identity: Column, details: Column) -> DataFrame:
+def finding(df: DataFrame, category: str | Column, identity: Column, details: Column, raw: Column | None = None) -> DataFrame:
+    """raw: the bytes that findings are told apart and ordered by, where identity is only how they are shown."""
     name = F.lit(category) if isinstance(category, str) else category
-    return df.select(name.alias("category"), identity.cast("string").cast("binary").alias("sort_identity"), identity.cast("string").alias("identity"), details.alias("details"))
+    return df.select(name.alias("category"), (identity.cast("string").cast("binary") if raw is None else raw).alias("sort_identity"), identity.cast("string").alias("identity"), details.alias("details"))
 
 
 def _reasons(*rules: tuple[str, Column]) -> Column:
@@ -84,16 +85,22 @@ def integrity_findings(messages: DataFrame) -> DataFrame:
     return finding(messages.where("message <> 'ok'"), "CATALOG_INTEGRITY", F.lit("integrity_check"), F.concat(F.lit("reason=integrity-check detail="), T.bounded(F.col("message"))))
 
 
+def _path_bytes(listing: DataFrame) -> Column:
+    return F.col("rel_path_bytes") if "rel_path_bytes" in listing.columns else F.col("rel_path").cast("binary")
+
+
 def classified_entries(listing: DataFrame) -> DataFrame:
-    """The store's entries with what they are; listing: rel_path, kind, ancestors_valid, size_bytes, io_error."""
-    return listing.withColumn("class", F.when(F.col("io_error").isNull(), T.cas_class(F.split("rel_path", "/"), F.col("kind"), F.col("ancestors_valid"))))
+    """The store's entries with what they are; listing: rel_path, kind, ancestors_valid, size_bytes, io_error, and rel_path_bytes where names need not be UTF-8."""
+    parts = F.split(T.byte_text(_path_bytes(listing)), "/")
+    return listing.withColumn("class", F.when(F.col("io_error").isNull(), T.cas_class(parts, F.col("kind"), F.col("ancestors_valid"))))
 
 
 def entry_findings(entries: DataFrame) -> DataFrame:
-    path = T.escape_identity(F.concat(F.lit("blobs/"), F.col("rel_path")))
+    raw = F.concat(F.lit(b"blobs/"), _path_bytes(entries))
+    path = T.escape_bytes(raw)
     bad = entries.where("class not in ('valid-directory', 'valid-blob')")
     broken = entries.where("io_error is not null")
-    return finding(bad, "INVALID_CAS_ENTRY", path, F.concat(F.lit("reason="), F.col("class"))).unionByName(finding(broken, "CAS_IO_ERROR", path, F.concat(F.lit("reason="), F.col("io_error"))))
+    return finding(bad, "INVALID_CAS_ENTRY", path, F.concat(F.lit("reason="), F.col("class")), raw).unionByName(finding(broken, "CAS_IO_ERROR", path, F.concat(F.lit("reason="), F.col("io_error")), raw))
 
 
 def reconciled(blobs: DataFrame, store: DataFrame) -> DataFrame:

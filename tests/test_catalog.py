@@ -173,3 +173,23 @@ def test_new_ids_follow_the_order_of_writing(spark):
     seen = spark.createDataFrame([("/r", k, "imported", "0" * 64, 1, None, 7, n * 10) for n, k in enumerate(keys)], "source_root string, relative_path string, kind string, blob_hash string, size_bytes long, modified_at_ms long, observed_at_ms long, sequence long")
     got = upsert_sources(spark.createDataFrame([], SOURCE_FILES), seen).orderBy("id").collect()
     assert [r.relative_path for r in got] == keys and [r.id for r in got] == [1, 2, 3, 4, 5, 6]
+
+
+def test_names_in_bytes_are_findings_of_their_own(spark, tmp_path):
+    from holdfast.operators import audit
+    from holdfast.sources.listing import store_listing
+
+    folder = os.fsencode(str(tmp_path / "blobs" / "ab"))
+    os.makedirs(folder)
+    for name in (b"\xffa", b"x y", rb"x\x20y", "é \t".encode()):
+        with open(os.path.join(folder, name), "wb") as file:
+            file.write(b"1")
+    entries = audit.classified_entries(store_listing(spark, str(tmp_path)))
+    got = {bytes(r.sort_identity): (r.identity, r.details) for r in audit.deduplicated(audit.entry_findings(entries)).collect()}
+    reason = "reason=file-at-invalid-depth"
+    assert got == {
+        b"blobs/ab/\xffa": (r"blobs/ab/\xffa", reason),
+        b"blobs/ab/x y": (r"blobs/ab/x\x20y", reason),
+        rb"blobs/ab/x\x20y": (r"blobs/ab/x\x20y", reason),
+        "blobs/ab/é \t".encode(): (r"blobs/ab/é\xc2\xa0\x09", reason),
+    }
