@@ -16,7 +16,8 @@ A line goes if an earlier line (by key and place) is similar, whether or not tha
 one stays, so that one earlier partner is enough.  A first round compares each line
 with the earliest lines of three tokens of its prefix alone: the rarest, and the last
 two, which near copies share where the rarest are their own.  What it finds asks no
-more, and many near copies of one line cost few pairs among each other.
+more, so that many near copies of one line cost fewer pairs among each other; those it
+does not find are still paired with all that pass the filters.
 """
 
 from __future__ import annotations

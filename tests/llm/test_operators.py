@@ -309,7 +309,7 @@ def test_counts_of_words_that_run_over_batches():
 
 
 def test_many_near_copies_of_one_line(spark):
-    """Each copy has two words of its own; pairs that are compared stay in proportion to the copies."""
+    """Each copy has two words of its own."""
     base = [f"w{i}" for i in range(40)]
     lines = []
     for i in range(5000):
