@@ -16,8 +16,11 @@ A line goes if an earlier line (by key and place) is similar, whether or not tha
 one stays, so that one earlier partner is enough.  A first round compares each line
 with the earliest lines of three tokens of its prefix alone: the rarest, and the last
 two, which near copies share where the rarest are their own.  What it finds asks no
-more, so that many near copies of one line cost fewer pairs among each other; those it
-does not find are still paired with all that pass the filters.
+more.  A second round compares what still asks with all that share a token, and gives
+on the likeliest partner of each line alone, combined where the join finds it.  Lines
+whose likeliest partner is not similar, though there are others, meet these in a third
+round that checks the full sets within the join, and gives on the lines that go.  No
+round writes all pairs of a group.
 """
 
 from __future__ import annotations
@@ -34,15 +37,20 @@ COUNTERS, PASSES = 1 << 18, 2
 _SEGMENT = 4096
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased words between white space; empty ones among them."""
+def _plain(text: Column) -> Column:
+    """Lower-cased, all white space but newlines as spaces: lines that differ in nothing else have the same tokens."""
     for gap in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(gap), F.lit(" "))
-    return F.split(F.lower(line), " ")
+        text = F.replace(text, F.lit(gap), F.lit(" "))
+    return F.lower(text)
+
+
+def _words(line: Column) -> Column:
+    """Words of a plain line; empty ones among them."""
+    return F.split(line, " ")
 
 
 def _tokens(line: Column) -> Column:
-    """Distinct 64-bit token hashes."""
+    """Distinct 64-bit token hashes of a plain line."""
     return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
@@ -57,10 +65,10 @@ def _least_shared_smaller(percent: int, n: Column) -> Column:
 
 
 def _lines(stages: Stages, docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to a written table of lines: at (their order by key, row, place), row, doc_id, line_no, worded, two hashes of the line, and the line if worded."""
+    """(row, doc_id, text) to a written table of lines: at (their order by key, row, place), row, doc_id, line_no, worded, two hashes of the plain line, and that line if worded."""
     ordered = docs.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-    lines = ordered.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    worded = F.length(F.btrim("line", F.lit(" \t\x0b\x0c\r"))) > 0
+    lines = ordered.select("row", "doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
+    worded = F.length(F.btrim("line")) > 0
     names = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(17), "line", F.length("line")).alias("h2")
     return stages.keep(lines.select(F.monotonically_increasing_id().alias("at"), "row", "doc_id", "line_no", worded.alias("worded"), *names, F.when(worded, F.col("line")).alias("line")))
 
@@ -138,33 +146,47 @@ def _side(entries: DataFrame, side: str) -> DataFrame:
     return entries.select("code", *[F.col(c).alias(f"{side}_{c}") for c in entries.columns if c != "code"])
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    """(later, earlier, unlike): unlike is the number of parity bits that differ."""
-    return found.select(F.greatest("x_at", "y_at").alias("later"), F.least("x_at", "y_at").alias("earlier"), _unlike().alias("unlike"))
+def _candidate(found: DataFrame) -> DataFrame:
+    """(later, best, all): of all pairs of each later line the one that differs in the fewest parity bits, with these bits above bit 56 of the earlier line's place."""
+    key = F.shiftleft(F.least(_unlike(), F.lit(127)).cast("long"), 56).bitwiseOR(F.least("x_at", "y_at"))
+    return found.select(F.greatest("x_at", "y_at").alias("later"), key.alias("best")).groupBy("later").agg(F.min("best").alias("best"), F.count("*").alias("all"))
+
+
+def _partner(best: Column) -> Column:
+    return best.bitwiseAND((1 << 56) - 1)
+
+
+def _sets(stages: Stages, distinct: DataFrame, at: DataFrame) -> DataFrame:
+    return stages.keep(distinct.join(at.distinct().hint("merge"), "at", "left_semi").select("at", _tokens(F.col("line")).alias("tokens")))
+
+
+def _similar_sets(percent: int) -> Column:
+    """Whether s and t, of x_n and y_n tokens, are similar."""
+    return (100 + percent) * F.size(F.array_intersect("s", "t")) >= percent * (F.col("x_n") + F.col("y_n"))
 
 
 def _similar(stages: Stages, distinct: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """at of the later ones of pairs (later, earlier) whose full sets are similar."""
-    asked = pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct()
-    sets = stages.keep(distinct.join(asked.hint("merge"), "at", "left_semi").select("at", _tokens(F.col("line")).alias("tokens")))
-    one = sets.select(F.col("at").alias("later"), F.col("tokens").alias("s"))
-    two = sets.select(F.col("at").alias("earlier"), F.col("tokens").alias("t"))
-    wide = pairs.select("later", "earlier").join(one.hint("merge"), "later").join(two.hint("merge"), "earlier").withColumn("shared", F.size(F.array_intersect("s", "t")))
-    true = wide.where(100 * F.col("shared") >= percent * (F.size("s") + F.size("t") - F.col("shared")))
-    out = stages.keep(true.select(F.col("later").alias("at")).distinct())
+    """at of the later ones of pairs (later, earlier), one of each later line, whose full sets are similar."""
+    sets = _sets(stages, distinct, pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")))
+    one = sets.select(F.col("at").alias("later"), F.col("tokens").alias("s"), F.size("tokens").alias("x_n"))
+    two = sets.select(F.col("at").alias("earlier"), F.col("tokens").alias("t"), F.size("tokens").alias("y_n"))
+    wide = pairs.join(one.hint("merge"), "later").join(two.hint("merge"), "earlier")
+    out = stages.keep(wide.where(_similar_sets(percent)).select(F.col("later").alias("at")))
     stages.drop(sets)
     return out
 
 
-def _verified(stages: Stages, distinct: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The same for pairs (later, earlier, unlike): first the likeliest partner of each, then all others of those that have none yet."""
-    best = stages.keep(pairs.groupBy("later").agg(F.min(F.struct("unlike", "earlier")).alias("y"), F.count("*").alias("all")).select("later", F.col("y.earlier").alias("earlier"), "all"))
-    found = _similar(stages, distinct, best, percent)
-    open_ = best.where("all > 1").join(found.select(F.col("at").alias("later")).hint("merge"), "later", "left_anti")
-    others = stages.keep(pairs.join(open_.select("later", F.col("earlier").alias("tried")).hint("merge"), "later").where("earlier <> tried").select("later", "earlier"))
-    more = _similar(stages, distinct, others, percent)
-    stages.drop(best, others)
-    return found.unionByName(more)
+def _others(stages: Stages, distinct: DataFrame, coded: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """at of the lines of open_ that are similar to any earlier line: full sets are compared within the join, true ones alone leave it."""
+    asking = stages.keep(_entries(coded.join(open_.hint("merge"), "at", "left_semi")))
+    members = stages.keep(_entries(coded).join(asking.select("code").distinct().hint("merge"), "code", "left_semi"))
+    sets = _sets(stages, distinct, members.select("at"))
+    x = _side(asking, "x").join(sets.select(F.col("at").alias("x_at"), F.col("tokens").alias("s")).hint("merge"), "x_at")
+    y = _side(members, "y").join(sets.select(F.col("at").alias("y_at"), F.col("tokens").alias("t")).hint("merge"), "y_at")
+    true = x.join(y.hint("merge"), "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent) & _similar_sets(percent))
+    out = stages.keep(true.select(F.col("x_at").alias("at")).distinct())
+    stages.drop(asking, members, sets)
+    return out
 
 
 def _gone(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
@@ -172,26 +194,32 @@ def _gone(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
     coded = _coded(stages, distinct, percent)
     # First round: the earliest line of each of three tokens.
     few = _entries(coded.withColumn("last", F.size("prefix") - 2)).where("place = 0 or place >= last").drop("last")
-    head = few.groupBy("code").agg(F.min(F.struct("at", "n", "place", "low", "high")).alias("y")).select("code", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("at", "n", "place", "low", "high")])
-    stars = _side(few, "x").join(head, "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent))
-    found = _similar(stages, distinct, stages.keep(_pairs(stars).groupBy("later").agg(F.min(F.struct("unlike", "earlier")).alias("y")).select("later", "y.earlier")), percent)
+    rest = ("n", "place", "low", "high")
+    head = few.groupBy("code").agg(F.min("at").alias("y_at"), *[F.min_by(c, "at").alias(f"y_{c}") for c in rest])
+    stars = _candidate(_side(few, "x").join(head, "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent)))
+    stars = stages.keep(stars.select("later", _partner(F.col("best")).alias("earlier")))
+    found = _similar(stages, distinct, stars, percent)
     # Then all others: x is the larger set, or the later one of two of one size; both sides are one shuffle.
-    asks = coded.join(found.withColumn("found", F.lit(True)).hint("merge"), "at", "left").withColumn("asks", F.col("found").isNull().cast("long")).drop("found")
-    asks = stages.keep(asks)
-    stages.drop(coded)
+    asks = stages.keep(coded.join(found.withColumn("found", F.lit(True)).hint("merge"), "at", "left").withColumn("asks", F.col("found").isNull().cast("long")).drop("found"))
+    stages.drop(coded, stars)
     parts = []
     for i in range(PASSES):
         entries = _entries(asks).where(F.col("code") % PASSES == i)
         # Sizes and places in one number: shorter rows.
         entries = entries.select("code", "at", "low", "high", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("asks")).alias("m"))
         x, y = (_side(entries, s) for s in "xy")
-        pairs = x.join(y.hint("merge"), "code").where(_asked(percent) & _may_be_similar(percent, packed=True))
-        parts.append(stages.keep(_pairs(pairs)))
-    pairs = stages.keep(functools.reduce(DataFrame.unionByName, parts).distinct())
-    stages.drop(asks, *parts)
-    more = _verified(stages, distinct, pairs, percent)
-    stages.drop(pairs)
-    return found.unionByName(more)
+        parts.append(stages.keep(_candidate(x.join(y.hint("merge"), "code").where(_asked(percent) & _may_be_similar(percent, packed=True)))))
+    best = functools.reduce(DataFrame.unionByName, parts).groupBy("later").agg(F.min("best").alias("best"), F.sum("all").alias("all"))
+    best = stages.keep(best.select("later", _partner(F.col("best")).alias("earlier"), "all"))
+    stages.drop(*parts)
+    more = _similar(stages, distinct, best.select("later", "earlier"), percent)
+    # Those whose likeliest partner is not similar, but that have others.
+    open_ = stages.keep(best.where("all > 1").select(F.col("later").alias("at")).join(more.hint("merge"), "at", "left_anti"))
+    gone = found.unionByName(more)
+    if not open_.isEmpty():
+        gone = gone.unionByName(_others(stages, distinct, asks.drop("asks"), open_, percent))
+    stages.drop(best, asks, open_)
+    return gone
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
