@@ -16,11 +16,13 @@ A line goes if an earlier line (by key and place) is similar, whether or not tha
 one stays, so that one earlier partner is enough.  A first round compares each line
 with the earliest lines of three tokens of its prefix alone: the rarest, and the last
 two, which near copies share where the rarest are their own.  What it finds asks no
-more.  A second round compares what still asks with all that share a token, and gives
-on the likeliest partner of each line alone, combined where the join finds it.  Lines
-whose likeliest partner is not similar, though there are others, meet these in a third
-round that checks the full sets within the join, and gives on the lines that go.  No
-round writes all pairs of a group.
+more.  Tokens of many lines then have rounds of their own: each line that still asks
+meets the earliest such line of each, as long as a round finds some.  The next round
+compares what still asks with all that share a token, and gives on the likeliest
+partner of each line alone, combined where the join finds it.  Lines whose likeliest
+partner is not similar, though there are others, meet these in a last round that
+checks the full sets within the join, and gives on the lines that go.  No round writes
+all pairs of a group.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ from holdfast.llm._stage import Stages
 
 #: Counters of token occurrences; parts of the tokens, joined one after another.
 COUNTERS, PASSES = 1 << 18, 2
+
+#: A token of this level (occurrences as a power of 1.25) or more has rounds of its own, the next one as long as one finds so many lines.
+HOT_LEVEL, SOME = 28, 64
 _SEGMENT = 4096
 
 
@@ -147,9 +152,9 @@ def _side(entries: DataFrame, side: str) -> DataFrame:
 
 
 def _candidate(found: DataFrame) -> DataFrame:
-    """(later, best, all): of all pairs of each later line the one that differs in the fewest parity bits, with these bits above bit 56 of the earlier line's place."""
+    """(later, best, worst): of all pairs of each later line those that differ in the fewest and the most parity bits, with these bits above bit 56 of the earlier line's place."""
     key = F.shiftleft(F.least(_unlike(), F.lit(127)).cast("long"), 56).bitwiseOR(F.least("x_at", "y_at"))
-    return found.select(F.greatest("x_at", "y_at").alias("later"), key.alias("best")).groupBy("later").agg(F.min("best").alias("best"), F.count("*").alias("all"))
+    return found.select(F.greatest("x_at", "y_at").alias("later"), key.alias("best")).groupBy("later").agg(F.min("best").alias("best"), F.max("best").alias("worst"))
 
 
 def _partner(best: Column) -> Column:
@@ -189,19 +194,31 @@ def _others(stages: Stages, distinct: DataFrame, coded: DataFrame, open_: DataFr
     return out
 
 
+def _by_heads(stages: Stages, distinct: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """at of lines that are similar to the earliest line of one of their tokens: of those that may be, the likeliest is tried."""
+    head = entries.groupBy("code").agg(F.min("at").alias("y_at"), *[F.min_by(c, "at").alias(f"y_{c}") for c in ("n", "place", "low", "high")])
+    near = _side(entries, "x").join(head, "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent))
+    pairs = stages.keep(_candidate(near).select("later", _partner(F.col("best")).alias("earlier")))
+    out = _similar(stages, distinct, pairs, percent)
+    stages.drop(pairs)
+    return out
+
+
 def _gone(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
     """at of the distinct lines that are similar to an earlier one."""
     coded = _coded(stages, distinct, percent)
     # First round: the earliest line of each of three tokens.
     few = _entries(coded.withColumn("last", F.size("prefix") - 2)).where("place = 0 or place >= last").drop("last")
-    rest = ("n", "place", "low", "high")
-    head = few.groupBy("code").agg(F.min("at").alias("y_at"), *[F.min_by(c, "at").alias(f"y_{c}") for c in rest])
-    stars = _candidate(_side(few, "x").join(head, "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent)))
-    stars = stages.keep(stars.select("later", _partner(F.col("best")).alias("earlier")))
-    found = _similar(stages, distinct, stars, percent)
+    found = _by_heads(stages, distinct, few, percent)
+    # Rounds of frequent tokens.
+    hot = stages.keep(_entries(coded).where(F.shiftright("code", 56) >= HOT_LEVEL))
+    more = SOME
+    while more >= SOME:
+        newly = _by_heads(stages, distinct, hot.join(found.hint("merge"), "at", "left_anti"), percent)
+        more, found = newly.count(), found.unionByName(newly)
     # Then all others: x is the larger set, or the later one of two of one size; both sides are one shuffle.
     asks = stages.keep(coded.join(found.withColumn("found", F.lit(True)).hint("merge"), "at", "left").withColumn("asks", F.col("found").isNull().cast("long")).drop("found"))
-    stages.drop(coded, stars)
+    stages.drop(coded, hot)
     parts = []
     for i in range(PASSES):
         entries = _entries(asks).where(F.col("code") % PASSES == i)
@@ -209,12 +226,12 @@ def _gone(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
         entries = entries.select("code", "at", "low", "high", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("asks")).alias("m"))
         x, y = (_side(entries, s) for s in "xy")
         parts.append(stages.keep(_candidate(x.join(y.hint("merge"), "code").where(_asked(percent) & _may_be_similar(percent, packed=True)))))
-    best = functools.reduce(DataFrame.unionByName, parts).groupBy("later").agg(F.min("best").alias("best"), F.sum("all").alias("all"))
-    best = stages.keep(best.select("later", _partner(F.col("best")).alias("earlier"), "all"))
+    best = functools.reduce(DataFrame.unionByName, parts).groupBy("later").agg(F.min("best").alias("best"), F.max("worst").alias("worst"))
+    best = stages.keep(best.select("later", _partner(F.col("best")).alias("earlier"), (F.col("best") != F.col("worst")).alias("others")))
     stages.drop(*parts)
     more = _similar(stages, distinct, best.select("later", "earlier"), percent)
     # Those whose likeliest partner is not similar, but that have others.
-    open_ = stages.keep(best.where("all > 1").select(F.col("later").alias("at")).join(more.hint("merge"), "at", "left_anti"))
+    open_ = stages.keep(best.where("others").select(F.col("later").alias("at")).join(more.hint("merge"), "at", "left_anti"))
     gone = found.unionByName(more)
     if not open_.isEmpty():
         gone = gone.unionByName(_others(stages, distinct, asks.drop("asks"), open_, percent))
