@@ -35,7 +35,7 @@ from holdfast.llm import _text as X
 from holdfast.llm._stage import Stages
 
 #: Pieces of text, and distinct ones, after which a block ends; parts of the blocks, put together one after another.
-PIECES, DISTINCT, PARTS = 1 << 22, 1 << 19, 8
+PIECES, DISTINCT, PARTS = 1 << 21, 1 << 18, 8
 
 #: White space other than the space and the newline; a space between other characters.
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
