@@ -228,13 +228,15 @@ def encode_decode(
     blocks = stages.keep(blocks.withColumn("block", F.monotonically_increasing_id()))
     encoded = stages.keep(encode_words(blocks.select(F.explode("words").alias("word")), ranks))
     names = encoded.select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("names"))
-    made = stages.keep(names.join(decode_words(spark, encoded, _ranks(data)).hint("merge"), "word"))
+    itself = F.col("word").cast("binary")
+    # Bytes that are the word itself are not carried twice.
+    made = stages.keep(names.join(decode_words(spark, encoded, _ranks(data)).hint("merge"), "word").withColumn("bytes", F.when(F.col("bytes") != itself, F.col("bytes"))))
     stages.drop(encoded)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     out = []
     for i in range(PARTS):
         mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == i)
-        uses = mine.select("block", F.posexplode("words").alias("place", "word")).join(made.hint("merge"), "word").select("block", "place", "names", "bytes")
+        uses = mine.select("block", F.posexplode("words").alias("place", "word")).join(made.hint("merge"), "word").select("block", "place", "names", F.coalesce("bytes", itself).alias("bytes"))
         both = mine.select("block", F.lit(-1).alias("place"), F.lit(None).cast("string").alias("names"), F.col("texts").alias("bytes")).unionByName(uses)
         out.append(stages.keep(both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_assembled(with_ids), schema)))
     stages.drop(blocks, made)
