@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SOME_MEGABYTES = "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on queries of the session give Python batches of some megabytes: for results that the caller writes."""
+    spark.conf.set(_BATCH, _SOME_MEGABYTES)
+
+
 class Stages:
     """Tables that an operator writes between its steps, so that a lost executor costs one step.
 
@@ -45,7 +51,7 @@ class Stages:
     @contextlib.contextmanager
     def clean(self) -> Iterator[None]:
         """Queries that run meanwhile remove their shuffle files when they end, and give Python batches of some megabytes."""
-        wanted = {_CLEANUP: "true", _BATCH: "8m"}
+        wanted = {_CLEANUP: "true", _BATCH: _SOME_MEGABYTES}
         was = {name: self.spark.conf.get(name) for name in wanted}
         for name, value in wanted.items():
             self.spark.conf.set(name, value)

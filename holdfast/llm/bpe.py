@@ -153,7 +153,7 @@ def _encoded(ranks):
 
 def encode_words(words: DataFrame, ranks) -> DataFrame:
     """Distinct words with their ids."""
-    return words.distinct().mapInArrow(_encoded(ranks), "word string, ids array<int>")
+    return words.distinct().mapInArrow(X.lean(_encoded(ranks)), "word string, ids array<int>")
 
 
 def decode_words(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -224,7 +224,7 @@ def encode_decode(
     ranks = spark.sparkContext.broadcast(data)
     stages = Stages(spark, "bpe")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(pattern, pieces), "texts binary, words array<string>")
+    blocks = rows.mapInArrow(X.lean(_blocks(pattern, pieces)), "texts binary, words array<string>")
     blocks = stages.keep(blocks.withColumn("block", F.monotonically_increasing_id()))
     encoded = stages.keep(encode_words(blocks.select(F.explode("words").alias("word")), ranks))
     names = encoded.select("word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("names"))
@@ -238,6 +238,6 @@ def encode_decode(
         mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == i)
         uses = mine.select("block", F.posexplode("words").alias("place", "word")).join(made.hint("merge"), "word").select("block", "place", "names", F.coalesce("bytes", itself).alias("bytes"))
         both = mine.select("block", F.lit(-1).alias("place"), F.lit(None).cast("string").alias("names"), F.col("texts").alias("bytes")).unionByName(uses)
-        out.append(stages.keep(both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_assembled(with_ids), schema)))
+        out.append(stages.keep(both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(X.lean(_assembled(with_ids)), schema)))
     stages.drop(blocks, made)
     return functools.reduce(DataFrame.unionByName, out)

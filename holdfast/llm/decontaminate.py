@@ -161,7 +161,7 @@ def find_contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k
                     ["doc_id", "item_id", "n_shingles", "n_shared"],
                 )
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_shared long")
+        part = rows.mapInArrow(X.lean(run), "doc_id long, item_id long, n_shingles long, n_shared long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -178,5 +178,5 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k:
                 clean[[r for r, _, _ in _matches(batch.column(at), held.value, percent)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(X.lean(run), docs.schema)
     return docs

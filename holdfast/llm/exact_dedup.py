@@ -150,12 +150,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", key: s
     stages = Stages(spark, "exact-dedup")
     number = (F.lit(0) if row is None else F.col(row)).cast("long").alias("row")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), number)
-    recipes = stages.keep(rows.mapInArrow(_recipes(digest_bits), "doc_id long, row long, n_bytes long, recipe binary, text_sha256 string"))
+    recipes = stages.keep(rows.mapInArrow(X.lean(_recipes(digest_bits)), "doc_id long, row long, n_bytes long, recipe binary, text_sha256 string"))
     largest, size = F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")
     again = stages.keep(recipes.groupBy("recipe").agg(largest, size).where("group_size > 1"))
     held = spark.sparkContext.broadcast(anchor_filter(again.select(F.xxhash64("recipe").alias("anchor"))))
     # Distinct (digest, content) of the documents concerned: partial aggregation keeps one of each copy per task.
-    verified = rows.select("text").mapInArrow(_chunks(digest_bits, held), "digest binary, chunk binary").distinct()
+    verified = rows.select("text").mapInArrow(X.lean(_chunks(digest_bits, held)), "digest binary, chunk binary").distinct()
     clashing = stages.keep(verified.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1"))
     if clashing.isEmpty():
         # Every digest stands for one content: the recipes are the ordered lists of verified identifiers.

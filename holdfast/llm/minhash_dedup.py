@@ -229,7 +229,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
     """
     stages = Stages(spark, "near-dedup")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stages.keep(rows.mapInArrow(_signatures(k, seed), "doc_id long, n long, class binary, sig binary"))
+    signed = stages.keep(rows.mapInArrow(X.lean(_signatures(k, seed)), "doc_id long, n long, class binary, sig binary"))
     able = signed.where("n > 0 and doc_id is not null")
     # One set of each class goes on; its key is the least.
     first = stages.keep(able.groupBy("class").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("sig").alias("sig")))
@@ -256,7 +256,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
 
     def confirmed(some: DataFrame) -> DataFrame:
         wide = some.join(texts.select(F.col("id").alias("a"), "text").hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
-        return wide.select("a", "b", "text", "other").mapInArrow(_confirm(k, percent), "a long, b long")
+        return wide.select("a", "b", "text", "other").mapInArrow(X.lean(_confirm(k, percent)), "a long, b long")
 
     # The best candidates of each set first; of the others only those that still join two components.
     best = Window.partitionBy("b").orderBy(F.desc("likely"), "a")
@@ -281,7 +281,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int
         placed = full.join(counts, "region").withColumn("slot", slot)
         held = stages.keep(placed.groupBy("region", "slot").agg(F.collect_list(block).alias("members")))
         asking = placed.where("root <> main").groupBy("region", F.col("slot").alias("from")).agg(F.collect_list(block).alias("queries"))
-        more = held.join(asking, "region").select("queries", "members").mapInArrow(_blocks(k, percent), "a long, b long")
+        more = held.join(asking, "region").select("queries", "members").mapInArrow(X.lean(_blocks(k, percent)), "a long, b long")
         links = links.unionByName(stages.keep(more))
     if not links.isEmpty():
         roots = components(stages, first_links.unionByName(links))

@@ -203,7 +203,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1), tables))], ["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(X.lean(run), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -216,4 +216,4 @@ def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, thresh
         for batch in batches:
             yield batch.filter(pa.array(scorer.scores(batch.column(at), tables) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.lean(run), docs.schema)
