@@ -7,11 +7,13 @@ columns of documents.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
-from holdfast.llm._stage import Stages
+from holdfast.llm._stage import Stages, small_batches
 from holdfast.llm.bpe import encode_decode
 from holdfast.llm.decontaminate import decontaminate
 from holdfast.llm.exact_dedup import exact_dedup
@@ -22,6 +24,17 @@ from holdfast.llm.quality import keep_quality
 ROW = "_pipeline_row"
 
 
+def _lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """stage, whose result is written in small batches whoever writes it."""
+
+    @functools.wraps(stage)
+    def out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return out
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +44,7 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return Stages(spark, "pipeline-rows").keep(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+@_lean
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject: those that score THRESHOLD or more.
 
@@ -40,6 +54,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_quality(spark, docs, _table(spark, sf_dir, "labels"))
 
 
+@_lean
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts one: of the largest doc_id (null the least), and of rows that share it any.
 
@@ -51,6 +66,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
+@_lean
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row: of the least doc_id (null the last), and of rows that share it any.
 
@@ -66,6 +82,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
+@_lean
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item.
 
@@ -75,6 +92,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate(spark, docs, _table(spark, sf_dir, "benchmark"))
 
 
+@_lean
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids and the decoded text of each document that is left, with their digests: one row per row.
 
