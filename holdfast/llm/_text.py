@@ -194,3 +194,15 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             _trim()
 
     return out
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of one group; its name and signature are Spark's to look at."""
+
+    def out(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _trim()
+
+    return out

@@ -7,23 +7,28 @@ all; the root's parent is uniform over the vocabulary and one unknown.  A custom
 is an occurrence; a dish a word; a table that is opened sends one customer to the
 parent.  Words go by 64-bit identities whose last six bits are their leaf.
 
-Pairs (word before, word, n) are counted in PASSES parts of the key space, so that
-one part is shuffled at a time.  A pair seen once has one table always; only the
-others are seated anew in each sweep, joined with the tables of their context and
-with the word's probability in the leaf.  The seats of the three upper levels stand
-in one row a word, and are had again by running the sweeps with the customers that
-each one had.  All seats are drawn given the totals of the sweep before, from hashes:
-a repeated task gives the same seats.  Averages are over the last sweeps; a context's
+Texts are cut into windows of some TOKENS tokens, each one message: its distinct words,
+and its tokens as places among these.  The pairs (word before, word) of all windows meet
+in buckets by word, where they stay together through all sweeps, with the seats of their
+words in the three upper levels: a bucket is one message too.  Only the tables of contexts
+cross buckets: after each sweep a bucket sends the sums of the contexts that it has, and is
+told their totals.  A pair seen once has one table always; the others are seated anew in each
+sweep.  Pairs of the most frequent words, `hot_words` at most, are dealt over all buckets by
+the word before; the upper levels of these words are with the driver.  All seats are drawn
+given the totals of the sweep before, from hashes: a repeated task gives the same seats.
+Averages are over the last sweeps, whose customers of the upper levels are kept; a context's
 tables and its leaf's probabilities are averaged apart, which keeps sums at one.
 
-Scoring looks up the most frequent pairs, at most `hot_words`, in a broadcast table; all
-other tokens are joined with the table of pairs, and summed by document.
+Scoring sends each window the scores of its distinct pairs, bucket by bucket.
 """
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +43,10 @@ MIDDLES, PER_MIDDLE = 8, 8
 LEAVES = MIDDLES * PER_MIDDLE
 SWEEPS, KEPT = 6, 3
 STRENGTH = 1.0
-#: Pairs that each task holds for scoring; tokens and words gathered before a task passes counts on.
-HOT_WORDS, TOKENS, WORDS = 1 << 21, 1 << 21, 1 << 18
-#: Parts of the pairs, a power of two; one part is counted, or scored, at a time.
-PASSES = 4
+#: Words whose pairs are dealt over all buckets; tokens of a window, and words that _counted gathers; words that are scored at once.
+HOT_WORDS, TOKENS, WORDS, STRIP = 64, 1 << 20, 1 << 18, 1 << 13
+#: Parts in which the buckets are made, and scored, one part after another; tokens for each bucket.
+PASSES, LEAST_BUCKETS, TOKENS_A_BUCKET = 2, 12, 2_000_000
 _LOWER_TABLE = bytes(X.LOWER)
 
 
@@ -267,19 +272,6 @@ def _swept(history: list[Totals]):
     return run
 
 
-def _parents(history: list[Totals]):
-    """word, leaf, p: each word's probability in its leaves, after all sweeps but the last of history's totals."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seats = Seats(batch)
-            for number, totals in enumerate(history[:-1]):
-                seats.sweep(totals, number)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(seats.word)), pa.array(seats.leaf), pa.array(seats.in_leaf(history[-1]))], ["word", "leaf", "p"])
-
-    return run
-
-
 class Predictive:
     """Averaged predictive probabilities; of a word: what it has of its own at each kept sweep."""
 
@@ -348,23 +340,6 @@ def _probabilities(predictive: Predictive, columns: list[pa.Array]) -> np.ndarra
     )
 
 
-def _answers(history: list[Totals], predictive: Predictive):
-    """(word, n, found, asked, customers by sweep) to (word, leaf, known, p): the averaged probability in each leaf asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt = _learnt(history)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1 << 14):
-                batch = whole.slice(i, 1 << 14)
-                (model,) = learnt(iter([batch.select([0, 1, 2, *range(4, batch.num_columns)])]))
-                asked = batch.column(3)
-                row, leaf = np.repeat(np.arange(batch.num_rows), pc.list_value_length(asked).to_numpy()), asked.flatten().to_numpy()
-                p = 10.0 ** _probabilities(predictive, [model.column(c) for c in range(2, 7)])[row, leaf].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(leaf.astype(np.int64)), batch.column(1).take(pa.array(row)), pa.array(p)], ["word", "leaf", "known", "p"])
-
-    return run
-
-
 _ONE = np.array([leaf_of(bytes([b])) for b in range(256)], np.uint64)
 _TWO = np.array([leaf_of(bytes([a, b])) for a in range(256) for b in range(256)], np.uint64)
 _LOW = X.U64(LEAVES - 1)
@@ -393,138 +368,421 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return X.mix64(before * X.U64(0x9E3779B97F4A7C15) + word)
 
 
-def _tokens(column: pa.Array, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By runs of texts: the first row, and of the tokens in a part of the key space their rows, the words before, words, keys."""
-    raw, offsets = X.utf8(column)
-    for i, j in X.slices(offsets):
-        word, at = identities(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[at[:-1]] = END
-        keys = pair_keys(before, word)
-        here = np.flatnonzero(keys >> X.U64(32) & X.U64(PASSES - 1) == X.U64(part))
-        yield i, i + np.searchsorted(at, here, side="right") - 1, before[here], word[here], keys[here]
+def most_frequent(counted: DataFrame, most: int, name: Column) -> DataFrame:
+    """Rows of the greatest n > 0, `most` at most: whole classes of n by its logarithm, and of the next class a share by the hash of `name`."""
+    grade = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    left, least, share = most, None, 0
+    for r in counted.where("n > 0").groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # eight for each doubling of n
+        if r["count"] > left:
+            share, least = int(900 * left / r["count"]), r["grade"]  # of 1000: below the share that would fit exactly
+            break
+        left, least, share = left - r["count"], r["grade"], 1000
+    if least is None:
+        return counted.where("false")
+    return counted.where((F.col("n") > 0) & ((grade > least) | ((grade == least) & (F.pmod(name, F.lit(1000)) < share))))
+
+
+#: What the steps hand on: a part's number (a window's, a bucket's), the one it comes from, and arrays as bytes.
+_MESSAGE = "kind string, part long, source long, data binary, value double"
 
 
-def _paired(part: int):
-    """(text, held_out) to (c, w, n): pairs with their occurrences in texts that are learnt from, summed over many texts."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays end to end, integers as narrow as they can be."""
+    out = [struct.pack("<H", len(arrays))]
+    for a in arrays:
+        if a.dtype.kind in "iu" and a.dtype.itemsize > 1 and a.dtype != np.uint64:
+            least, most = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+            a = a.astype(np.promote_types(np.min_scalar_type(least), np.min_scalar_type(most)))
+        out += [struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)), np.ascontiguousarray(a).tobytes()]
+    return b"".join(out)
 
-    def rows(held: list) -> pa.RecordBatch:
-        before, word, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(keys)
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    (count,), at, out = struct.unpack_from("<H", data), 2, []
+    for _ in range(count):
+        kind, n = struct.unpack_from("<2sQ", data, at)
+        dtype = np.dtype(kind.decode())
+        a = np.frombuffer(data, dtype, n, at + 10)
+        out.append(a.astype(np.int64) if dtype.kind in "iu" and dtype != np.uint64 else a)
+        at += 10 + n * dtype.itemsize
+    return out
+
+
+def _message(rows: list[tuple]) -> pa.Table:
+    """rows: kind, part, source, and bytes or a number."""
+    kinds, parts, sources, data = zip(*rows, strict=True) if rows else ([], [], [], [])
+    held = [[x if isinstance(x, bytes) else None for x in data], [x if isinstance(x, float) else None for x in data]]
+    columns = [pa.array(kinds, pa.string()), pa.array(parts, pa.int64()), pa.array(sources, pa.int64()), pa.array(held[0], pa.binary()), pa.array(held[1], pa.float64())]
+    return pa.table(columns, names=["kind", "part", "source", "data", "value"])
+
+
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each one's place among them; by hash, as they are too wide for _grouped."""
+    coded = pa.array(values).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[coded.indices.to_numpy()]
+
+
+def _grouped(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order (0 <= keys < below), where each stood, and whether it is the first of its kind.  Plain sorting of numbers that hold the place too is much faster than argsort."""
+    bits = len(keys).bit_length()
+    if below.bit_length() + bits < 64:
+        both = keys << bits
+        both |= np.arange(len(keys))
+        both.sort()
+        keys, order = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        at = order[first]
-        sums = np.add.reduceat(n[order], first)
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys, order, first
+
+
+def _windows(most: int):
+    """(row, doc_id, text, held_out) to a message a window of some TOKENS tokens: its words in order of identity, tokens as places among these, and rows; and its most frequent words."""
+
+    def whole(held: list, first: int) -> pa.RecordBatch:
+        ids, sizes, doc, known, held_out = (np.concatenate(x) for x in zip(*held, strict=True))
+        vocabulary, tokens = _ranked(ids)
+        counts = np.bincount(tokens, minlength=len(vocabulary))
+        top = np.argsort(-counts, kind="stable")[:most]
+        rows = [("tokens", first, len(ids), _pack(vocabulary, tokens, sizes, doc, known, held_out)), ("top", first, len(ids), _pack(vocabulary[top], counts[top]))]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(sums)], ["c", "w", "n"])
+        return _message(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held, total, first = [], 0, 0
         for batch in batches:
-            learns = (~batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64)
-            for _, row, before, word, keys in _tokens(batch.column(0), part):
-                if len(keys):
-                    held.append((before, word, keys, learns[row]))
-                    total += len(keys)
+            raw, offsets = X.utf8(batch.column(2))
+            doc = batch.column(1)
+            known = doc.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+            doc, learns = doc.fill_null(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for i, j in X.slices(offsets):
+                ids, at = identities(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if not held:
+                    first = batch.column(0)[i].as_py()
+                held.append((ids, np.diff(at), doc[i:j], known[i:j], learns[i:j]))
+                total += len(ids)
                 if total > TOKENS:
-                    yield rows(held)
+                    yield whole(held, first)
                     total = 0
         if held:
-            yield rows(held)
+            yield whole(held, first)
 
     return run
 
 
-def _reseated(discount: float, number: int):
-    """(part, c, w, n, s, ts, t, p): t, the tables of the context so far, becomes those of the pair after the sweep."""
-    salt = X.U64(number * 0xD1342543DE82EF95 + 0x51ED & 0xFFFFFFFFFFFFFFFF)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending with the identity."""
+    return ((ids >> X.U64(32)) * X.U64(buckets) >> X.U64(32)).astype(np.int64)
+
+
+class _Window:
+    """The distinct pairs of a window, by bucket, word and word before: word and before (places in the vocabulary), n (occurrences in texts that are learnt from), at (where each bucket starts)."""
+
+    def __init__(self, data: bytes, buckets: int, hot: np.ndarray):
+        self.vocabulary, tokens, self.sizes, self.doc, self.known, self.held_out = _unpack(data)
+        size = len(self.vocabulary)
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.vocabulary, END)
+        self.tokens = tokens
+        before += tokens * size
+        keys, self.places, first = _grouped(before, size * size)
+        pairs = keys[first]
+        del before, keys
+        self.pair = np.cumsum(first) - 1  # of the tokens at places
+        learns = np.repeat(1 - self.held_out, self.sizes)
+        self.n = np.bincount(self.pair, learns[self.places], minlength=len(pairs)).astype(np.int64)
+        self.word, self.before = pairs // size, pairs % size
+        of = _bucket(self.vocabulary, buckets)
+        dealt = np.isin(self.vocabulary, hot)
+        bucket = np.where(dealt[self.word], of[self.before], of[self.word])
+        self.order = np.argsort(bucket, kind="stable")
+        self.at = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+
+
+def _paired(buckets: int, hot: np.ndarray, part: int):
+    """Windows to the pairs that each has for each bucket of a part: identities of words, the pairs of each, identities of the words before, n."""
+
+    def pairs(_: str, number: int, data: bytes) -> list[tuple]:
+        w, rows = _Window(data, buckets, hot), []
+        for b in range(part, buckets, PASSES):
+            mine = w.order[w.at[b] : w.at[b + 1]]
+            if len(mine):
+                word = w.word[mine]
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                rows.append(("pairs", b, number, _pack(w.vocabulary[word[first]], np.diff(first, append=len(word)), w.vocabulary[w.before[mine]], w.n[mine])))
+        return rows
+
+    return _each(pairs)
+
+
+def _each(run: Callable[[str, int, bytes], list[tuple]]):
+    """The rows that run gives for each message: its kind, part and data."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, w = (batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))
-            weight = (STRENGTH + discount * batch.column(6).to_numpy()) * batch.column(7).to_numpy()
-            t = seat(batch.column(3).to_numpy().astype(np.float64), weight, discount, pair_keys(c, w) ^ salt).astype(np.int64)
-            ts = batch.column(5).to_numpy() + (t if number >= SWEEPS - KEPT else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ts), pa.array(t)], ["part", "c", "w", "n", "s", "ts", "t"])
+            for kind, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                yield from _message(run(kind, part, data.as_buffer())).to_batches()
+
+    return X.lean(out)
+
+
+def _by_source(table: pa.Table, kind: str) -> list[tuple[int, bytes]]:
+    """(source, data) of the rows of a kind, by source."""
+    mine = table.filter(pc.equal(table.column("kind"), kind)).sort_by("source")
+    return list(zip(mine.column("source").to_pylist(), [x.as_buffer() for x in mine.column("data")], strict=True))
+
+
+def _sum(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, values, minlength=size).astype(np.int64)
+
+
+def _seats(names: np.ndarray, word: np.ndarray, leaf: np.ndarray, dishes: np.ndarray) -> Seats:
+    return Seats(_upper(names, word, leaf, dishes, []))
+
+
+def _upper(names: np.ndarray, word: np.ndarray, leaf: np.ndarray, dishes: np.ndarray, later: list[np.ndarray]) -> pa.RecordBatch:
+    """Words (each with an entry at least) as Seats has them; entries by word and leaf.  Their counts play no part there."""
+    at = pa.array(np.searchsorted(word, np.arange(len(names) + 1)).astype(np.int32))
+    spelt = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((np.arange(len(names) + 1) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(names).tobytes())])
+    found = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(dishes)], ["leaf", "n"]))
+    return pa.RecordBatch.from_arrays([spelt, pa.array(np.zeros(len(names), np.int64)), found, *[pa.ListArray.from_arrays(at, pa.array(c)) for c in later]], ["word", "n", "found", *[f"c{i}" for i in range(len(later))]])
+
+
+def _to_contexts(bucket: int, contexts: np.ndarray, shares: int, wanted: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Messages to the shares of the contexts, which are in order of identity."""
+    at, rows = np.searchsorted(_bucket(contexts, shares), np.arange(shares + 1)), []
+    for i in range(shares):
+        mine = slice(at[i], at[i + 1])
+        if at[i] < at[i + 1]:
+            rows.append(("ask", i, bucket, _pack(contexts[mine], wanted[mine].astype(np.uint8), *[v[mine] for v in values])))
+    return rows
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """What the buckets ask a share of the contexts: to each, the sums over all buckets for the contexts that it wants."""
+    asked = [(b, _unpack(data)) for b, data in _by_source(table, "ask")]
+    sizes = [len(x[0]) for _, x in asked]
+    names, at = _ranked(np.concatenate([x[0] for _, x in asked]))
+    sums = [_sum(np.concatenate(v), at, len(names)) for v in zip(*[x[2:] for _, x in asked], strict=True)]
+    rows, ends, share = [], np.cumsum(sizes), table.column("part")[0].as_py()
+    for (b, x), end, size in zip(asked, ends, sizes, strict=True):
+        mine = at[end - size : end][x[1] > 0]
+        if len(mine):
+            rows.append(("told", b, share, _pack(*[s[mine] for s in sums])))
+    return _message(rows)
+
+
+def _told(table: pa.Table) -> list[np.ndarray]:
+    """The sums for a bucket's wanted contexts, in their order."""
+    return [np.concatenate(x) for x in zip(*[_unpack(d) for _, d in _by_source(table, "told")], strict=True)]
+
+
+def _sums(bucket: int, **values: np.ndarray) -> list[tuple]:
+    """Rows that are added up over the buckets for the driver."""
+    return [(f"sum {name}", place, bucket, float(value)) for name, x in values.items() for place, value in enumerate(x.tolist()) if value]
+
+
+def _combined() -> Callable[[pa.Table], pa.Table]:
+    """The pairs that all windows have for a bucket, each once, with their counts; and which of them each window has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("part")[0].as_py()
+        blobs = [(source, _unpack(data)) for source, data in _by_source(table, "pairs")]
+        del table
+        names = np.unique(np.concatenate([x[0] for _, x in blobs]))
+        contexts, c = _ranked(np.concatenate([x[2] for _, x in blobs]))
+        w = np.concatenate([np.repeat(np.searchsorted(names, x[0]), x[1]) for _, x in blobs])
+        keys, order, first = _grouped(w * len(contexts) + c, len(names) * len(contexts))
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(first) - 1
+        keys = keys[first]
+        n = _sum(np.concatenate([x[3] for _, x in blobs]), of, len(keys))
+        w, c = keys // len(contexts), keys % len(contexts)
+        sizes = np.cumsum([len(x[3]) for _, x in blobs])
+        asked = [np.diff(of[end - len(x[3]) : end], prepend=0) for (_, x), end in zip(blobs, sizes, strict=True)]
+        asked_words = [np.searchsorted(names, x[0]) for _, x in blobs]
+        windows = np.array([source for source, _ in blobs])
+        per_word = np.diff(np.searchsorted(w, np.arange(len(names) + 1)))
+        return _message([("pairs", bucket, 0, _pack(names, per_word, contexts, c, n, _sum(n, w, len(names)), windows, *[a for x in zip(asked, asked_words, strict=True) for a in x]))])
 
     return run
 
 
-def _pair_scores(predictive: Predictive, discount: float, train: int, size: int):
-    """(c, w, n, ts, customers, tables, known, p) to (c, w, n, known, base, score); p is null for an unknown word."""
+def _begun(shares: int, hot: np.ndarray):
+    """A bucket's pairs to its tables before the first sweep, and to what the contexts and the driver must know."""
+
+    def begun(bucket: int, data: bytes) -> list[tuple]:
+        names, per_word, contexts, c, n, count, *_ = _unpack(data)
+        w, cold = np.repeat(np.arange(len(names)), per_word), ~np.isin(names, hot)
+        leaf, rows = (contexts & _LOW).astype(np.int64)[c], []
+        # Upper levels: words that are learnt, hot ones with the driver.
+        learnt = np.flatnonzero(n > 0)
+        keys, order, first = _grouped(w[learnt] * LEAVES + leaf[learnt], len(names) * LEAVES)
+        entry_of = np.zeros(len(n), np.int64)
+        entry_of[learnt[order]] = np.cumsum(first) - 1
+        entry_word, entry_leaf = keys[first] // LEAVES, keys[first] % LEAVES
+        dishes = np.bincount(entry_of[learnt], minlength=len(entry_word))
+        lone = np.bincount(entry_of[n == 1], minlength=len(entry_word))
+        mine = cold[entry_word]
+        word, at = np.unique(entry_word[mine], return_inverse=True)
+        seats = _seats(names[word], at, entry_leaf[mine], dishes[mine])
+        # Pairs that are seated anew: entry is 1 and more; 0 for those of hot words, which go by place.
+        many = np.flatnonzero(n > 1)
+        seated, seated_c = np.unique(c[many], return_inverse=True)
+        where = entry_of[many]
+        entry = np.where(mine[where], np.cumsum(mine)[where], 0)
+        place = np.where(entry == 0, np.searchsorted(hot, names[w[many]]) * LEAVES + leaf[many], 0)
+        tables = [x.astype(np.int64) for x in (seats.t1, seats.t2, seats.t3)]
+        rows.append(("state", bucket, 0, _pack(names[word], at, entry_leaf[mine], dishes[mine], lone[mine], seated_c, contexts[seated], n[many], entry, place, np.zeros(len(many), np.int64), *tables)))
+        wanted = np.zeros(len(contexts), bool)
+        wanted[seated] = True
+        seen = np.bincount(c[n > 0], minlength=len(contexts))
+        some = seen > 0
+        rows += _to_contexts(bucket, contexts[some], shares, wanted[some], seen[some], np.bincount(c[n == 1], minlength=len(contexts))[some])
+        hot_at = np.searchsorted(hot, names[entry_word[~mine]]) * LEAVES + entry_leaf[~mine]
+        size = len(hot) * LEAVES
+        words = len(word)
+        leaves_of = np.bincount(at, minlength=words)
+        rows += _sums(
+            bucket,
+            tables=seats.sums(),
+            customers=np.bincount(seats.leaf, seats.c1, minlength=LEAVES),
+            corpus=np.array([n.sum(), words, (n == 1).sum(), (n == 2).sum(), (dishes[mine] == 1).sum(), (dishes[mine] == 2).sum(), (leaves_of == 1).sum(), (leaves_of == 2).sum()]),
+            dishes=np.bincount(hot_at, dishes[~mine], minlength=size),
+            lone=np.bincount(hot_at, lone[~mine], minlength=size),
+            count=np.bincount(np.searchsorted(hot, names[~cold]), count[~cold], minlength=len(hot)),
+        )
+        return rows
+
+    return _each(lambda _, bucket, data: begun(bucket, data))
+
+
+def _swept_bucket(totals: Totals, discount: float, number: int, shares: int, hot: np.ndarray, hot_p: np.ndarray):
+    """A bucket's tables after a sweep: of its pairs, given their contexts' tables and their words' probabilities, then of its words in the upper levels."""
+    salt = X.U64(number * 0xD1342543DE82EF95 + 0x51ED & 0xFFFFFFFFFFFFFFFF)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unknown = 10.0 ** predictive.log10_unknown().astype(np.float64)
-        for batch in batches:
-            n, ts, customers, tables, known = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(2, 7))
-            p = batch.column(7)
-            leaf = batch.column(0).to_numpy() & (LEAVES - 1)
-            p = np.where(p.is_valid().to_numpy(zero_copy_only=False), p.fill_null(0).to_numpy(zero_copy_only=False), unknown[leaf])
-            own = np.maximum(n - discount * ts / KEPT, 0)
-            score = np.log10((own + (STRENGTH + discount * tables / KEPT) * p) / (STRENGTH + customers))
-            base = np.log10((known + 1) / (train + size + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((known > 0).astype(np.int32)), pa.array(base), pa.array(score)], ["c", "w", "n", "known", "base", "score"])
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("part")[0].as_py()
+        ((_, data),) = _by_source(table, "state")
+        names, at, leaf, dishes, lone, c, contexts, n, entry, place, ts, t1, t2, t3, *later = _unpack(data)
+        told = _told(table) if len(contexts) else [np.zeros(0, np.int64)] * 2
+        del table
+        seats = _seats(names, at, leaf, dishes)
+        if number:
+            single, *later = later
+            total = told[0] + single
+            seats.c1, seats.t1, seats.t2, seats.t3 = (x.astype(np.float64) for x in (later[-1], t1, t2, t3))
+            seats.c2, seats.c3 = np.bincount(seats.group, t1, minlength=len(seats.gword)), np.bincount(seats.gword, t2, minlength=seats.size)
+        else:
+            total, single = told
+        cold = entry > 0
+        p, w = np.zeros(len(n)), np.zeros(len(n), np.uint64)
+        mine, other = entry[cold] - 1, place[~cold]
+        p[cold], w[cold] = seats.in_leaf(totals)[mine], names[at[mine]]
+        p[~cold], w[~cold] = hot_p[other], hot[other // LEAVES]
+        t = seat(n.astype(np.float64), (STRENGTH + discount * total[c]) * p, discount, pair_keys(contexts[c], w) ^ salt).astype(np.int64)
+        if number >= SWEEPS - KEPT:
+            ts = ts + t
+        customers = lone + _sum(t[cold], mine, len(at))
+        seats.later = [None] * number + [customers.astype(np.float64)]
+        seats.sweep(totals, number)
+        tables = [x.astype(np.int64) for x in (seats.t1, seats.t2, seats.t3)]
+        rows = [("state", bucket, 0, _pack(names, at, leaf, dishes, lone, c, contexts, n, entry, place, ts, *tables, single, *later, customers))]
+        if number < SWEEPS - 1:
+            rows += _to_contexts(bucket, contexts, shares, np.ones(len(contexts), bool), _sum(t, c, len(contexts)))
+        rows += _sums(bucket, tables=seats.sums(), customers=np.bincount(seats.leaf, seats.c1, minlength=LEAVES), seated=np.bincount(other, t[~cold], minlength=len(hot_p)))
+        return _message(rows)
 
     return run
 
 
-_SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, c long, w long"
+def _of_pairs(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """A bucket's pairs, their tables summed over the kept sweeps, and its state."""
+    ((_, data),), ((_, state),) = _by_source(table, "pairs"), _by_source(table, "state")
+    pairs, state = _unpack(data), _unpack(state)
+    ts = pairs[4] * KEPT
+    ts[pairs[4] > 1] = state[10]
+    return pairs, ts, state
 
 
-def _laid_out(part: int, hot):
-    """(row, doc_id, text) to the sums of each text over its hot pairs in the part, and a row for each of its other tokens there."""
+def _last_asked(shares: int):
+    """What contexts have of a bucket's pairs: customers, and tables of the kept sweeps, those of pairs that are seated anew from the bucket's state."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, known, base, score = hot.value
-        for batch in batches:
-            number, m = batch.column(0).to_numpy(), batch.num_rows
-            for first, row, before, word, key in _tokens(batch.column(2), part):
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                owner, at, cold = row[hit], at[hit], np.flatnonzero(~hit)
-                last = int(row.max()) + 1 if len(row) else first
-                k, b, s = (np.bincount(owner - first, x[at], minlength=last - first).astype(np.float64) for x in (known, base, score))
-                n, none = np.bincount(row - first, minlength=last - first), np.zeros(len(cold), np.int64)
-                rows = number[first:last]
-                # Sums have no pair: their row's number spreads them over the join, and no word is 1.
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([rows, number[row[cold]]])),
-                        pa.concat_arrays([batch.column(1).slice(first, last - first), pa.nulls(len(cold), pa.int64())]),
-                        pa.array(np.concatenate([n, none])),
-                        pa.array(np.concatenate([k, none]).astype(np.int64)),
-                        pa.array(np.concatenate([b, none])),
-                        pa.array(np.concatenate([s, none])),
-                        pa.array(np.concatenate([rows, before[cold].view(np.int64)])),
-                        pa.array(np.concatenate([np.ones(len(rows), np.int64), word[cold].view(np.int64)])),
-                    ],
-                    ["row", "doc_id", "n_tokens", "n_known", "base", "score", "c", "w"],
-                )
+    def asked(kind: str, bucket: int, data: bytes) -> list[tuple]:
+        x = _unpack(data)
+        if kind == "state":
+            c, contexts, ts = x[5], x[6], x[10]
+            return _to_contexts(bucket, contexts, shares, np.zeros(len(contexts), bool), np.zeros(len(contexts), np.int64), _sum(ts, c, len(contexts)))
+        contexts, c, n = x[2:5]
+        return _to_contexts(bucket, contexts, shares, np.ones(len(contexts), bool), _sum(n, c, len(contexts)), KEPT * np.bincount(c[n == 1], minlength=len(contexts)))
 
-    return run
+    return _each(asked)
 
 
-def most_frequent(counted: DataFrame, most: int, name: Column) -> DataFrame:
-    """Rows of the greatest n > 0, `most` at most: whole classes of n by its logarithm, and of the next class a share by the hash of `name`."""
-    grade = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    left, least, share = most, None, 0
-    for r in counted.where("n > 0").groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # eight for each doubling of n
-        if r["count"] > left:
-            share, least = int(900 * left / r["count"]), r["grade"]  # of 1000: below the share that would fit exactly
-            break
-        left, least, share = left - r["count"], r["grade"], 1000
-    if least is None:
-        return counted.where("false")
-    return counted.where((F.col("n") > 0) & ((grade > least) | ((grade == least) & (F.pmod(name, F.lit(1000)) < share))))
+def _scored(history: list[Totals], discount: float, hot: np.ndarray, hot_log: np.ndarray, hot_count: np.ndarray):
+    """To each window that has pairs in a bucket: their scores, and the counts of their words."""
+    predictive = Predictive(history[-KEPT:])
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("part")[0].as_py()
+        (words, per_word, contexts, c, n, count, windows, *asked), ts, state = _of_pairs(table)
+        customers, tables = _told(table)
+        del table
+        names, at, leaf, dishes, later = *state[:4], state[15:]
+        w, in_leaf = np.repeat(np.arange(len(words)), per_word), (contexts & _LOW).astype(np.int64)[c]
+        log_p = predictive.log10_unknown()[in_leaf].astype(np.float64)
+        row = np.full(len(words), -1)
+        row[np.searchsorted(words, names)] = np.arange(len(names))
+        row = row[w]
+        for i in range(0, len(names), STRIP):
+            some = names[i : i + STRIP]
+            first, last = np.searchsorted(at, [i, i + len(some)])
+            (model,) = _learnt(history)(iter([_upper(some, at[first:last] - i, leaf[first:last], dishes[first:last], [x[first:last] for x in later])]))
+            here = np.flatnonzero((row >= i) & (row < i + len(some)))
+            log_p[here] = _probabilities(predictive, [model.column(x) for x in range(2, 7)])[row[here] - i, in_leaf[here]]
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+            is_hot = hot[place] == words
+            here = np.flatnonzero(is_hot[w])
+            log_p[here] = hot_log[place[w[here]], in_leaf[here]]
+            count = np.where(is_hot, hot_count[place], count)
+        own = np.maximum(n - discount * ts / KEPT, 0)
+        score = np.log10((own + (STRENGTH + discount * tables[c] / KEPT) * 10.0**log_p) / (STRENGTH + customers[c])).astype(np.float32)
+        return _message([("scores", window, bucket, _pack(score[np.cumsum(places)], count[which])) for window, places, which in zip(windows.tolist(), asked[::2], asked[1::2], strict=True)])
+
+    return run
 
 
-def _hot(scored: DataFrame, hot_words: int) -> tuple[np.ndarray, ...]:
-    """Keys in order, known, base and score of the most frequent pairs."""
-    table = most_frequent(scored, hot_words, F.xxhash64("c", "w")).toArrow()
-    keys = pair_keys(*(table[x].to_numpy().view(np.uint64) for x in ("c", "w")))
-    order = np.argsort(keys)
-    return keys[order], *(table[x].to_numpy()[order] for x in ("known", "base", "score"))
+def _texts_scored(buckets: int, hot: np.ndarray, train: int, size: int):
+    """A window and the scores of its pairs to a row for each of its texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ((_, data),) = _by_source(table, "tokens")
+        found = _by_source(table, "scores")
+        w = _Window(data, buckets, hot)
+        score, count = np.zeros(len(w.word)), np.zeros(len(w.vocabulary), np.int64)
+        for b, x in found:
+            mine = w.order[w.at[b] : w.at[b + 1]]
+            scores, counts = _unpack(x)
+            word = w.word[mine]
+            score[mine] = scores
+            count[word[np.concatenate([[True], word[1:] != word[:-1]])]] = counts
+        row = np.repeat(np.arange(len(w.sizes)), w.sizes)
+        add = lambda x: np.bincount(row, x, minlength=len(w.sizes))
+        base = np.log10((count + 1) / (train + size + 1))
+        doc = pa.array(w.doc, mask=w.known == 0)
+        of_pairs = np.bincount(row[w.places], score[w.pair], minlength=len(w.sizes))
+        sums = [add((count > 0)[w.tokens]).astype(np.int64), add(base[w.tokens]), of_pairs]
+        return pa.table([doc, pa.array(w.held_out > 0), pa.array(w.sizes), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, hot_words: int = HOT_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -538,105 +796,121 @@ def score_texts(spark: SparkSession, docs: DataFrame, hot_words: int = HOT_WORDS
     to learn from, every token has probability 1.  Other columns play no part; no
     rows give no rows.
     """
-    stages = Stages(spark, "language-model")
+    with _row_by_row(spark):
+        out, train = _score(Stages(spark, "language-model"), docs, hot_words, text, key)
+    return out.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(train).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
+
+
+@contextlib.contextmanager
+def _row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile tables are read a row at a time, not in vectors of many rows: rows here are some megabytes each."""
+    name = "spark.sql.parquet.enableVectorizedReader"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def _score(stages: Stages, docs: DataFrame, hot_words: int, text: str, key: str) -> tuple[DataFrame, int]:
+    """doc_id, held_out, n_tokens, n_known, base_score, score; and the number of tokens that are learnt from."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stages.keep(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out")))
-    pairs = [stages.keep(rows.select("text", "held_out").mapInArrow(_paired(i), "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n"))) for i in range(PASSES)]
-    leaf = F.col("c").bitwiseAND(LEAVES - 1).alias("leaf")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
+    with_top = stages.keep(rows.mapInArrow(X.lean(_windows(hot_words)), _MESSAGE))
+    windows = with_top.where("kind = 'tokens'")
+
+    # Hot words, whose pairs are dealt over all buckets by the word before, and whose upper levels the driver has.
+    frequent: dict[int, int] = {}
+    tokens = 0
+    for r in with_top.where("kind = 'top'").toLocalIterator():
+        tokens += r["source"]
+        for w, n in zip(*(x.tolist() for x in _unpack(bytes(r["data"]))), strict=True):
+            frequent[w] = frequent.get(w, 0) + n
+    hot = np.sort(np.array(sorted(frequent, key=lambda w: (-frequent[w], w))[:hot_words], np.uint64))
+    buckets = max(LEAST_BUCKETS, -(-tokens // TOKENS_A_BUCKET))
+    shares = -(-buckets // 4)
 
     def every(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    all_pairs = every([p.withColumn("part", F.lit(i)) for i, p in enumerate(pairs)])
-    seen = all_pairs.where("n > 0")
-    # Of each word in each leaf: tokens, pairs, and pairs that are seated anew; no pairs if only held-out texts ask for it.
-    by_leaf = stages.keep(all_pairs.groupBy("w", leaf).agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("dishes"), F.count(F.when(F.col("n") == 1, 1)).alias("lone")))
-    found = F.array_sort(F.collect_list(F.when(F.col("dishes") > 0, F.struct("leaf", F.col("dishes").alias("n")))))
-    words = by_leaf.groupBy("w").agg(F.sum("n").alias("n"), found.alias("found"), F.collect_list("leaf").alias("asked"), F.max(F.col("dishes") > F.col("lone")).alias("varied")).where("n > 0")
-    words = stages.keep(words.select(F.col("w").cast("string").cast("binary").alias("word"), "n", "found", "asked", "w", "varied"))
-
-    def discount(n1: int, n2: int) -> float:
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def grouped(run, *frames: DataFrame, schema: str = _MESSAGE) -> DataFrame:
+        return every(list(frames)).groupBy("part").applyInArrow(run, schema)
+
+    def of(df: DataFrame, kind: str) -> DataFrame:
+        return df.where(F.col("kind") == kind)
+
+    def told(df: DataFrame) -> DataFrame:
+        return stages.keep(grouped(X.lean_group(_summed), of(df, "ask")))
+
+    def added(df: DataFrame) -> dict[str, np.ndarray]:
+        sums = {"tables": np.zeros(LEAVES + MIDDLES + 1), "customers": np.zeros(LEAVES), "corpus": np.zeros(8), "count": np.zeros(len(hot))}
+        sums |= {name: np.zeros(len(hot) * LEAVES) for name in ("dishes", "lone", "seated")}
+        with stages.clean():
+            for r in df.where("value is not null").groupBy("kind", "part").agg(F.sum("value").alias("value")).collect():
+                sums[r["kind"][4:]][r["part"]] = r["value"]
+        return sums
+
+    def discount(n1: float, n2: float) -> float:
         """Of counts of counts, away from 0 and 1."""
         return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
 
-    def ones_and_twos(df: DataFrame, of: str) -> float:
-        x = df.agg(F.count(F.when(F.col(of) == 1, 1)).alias("n1"), F.count(F.when(F.col(of) == 2, 1)).alias("n2")).first()
-        return discount(x["n1"], x["n2"])
-
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    train, size = int(total["n"] or 0), int(total["v"])
-    d0, discounts = ones_and_twos(seen, "n"), (ones_and_twos(by_leaf, "dishes"), ones_and_twos(words.select(F.size("found").alias("k")), "k"))
-
-    contexts = seen.groupBy("c").agg(F.count("*").alias("t"), F.count(F.when(F.col("n") == 1, 1)).alias("s"))
-    state = stages.keep(seen.where("n > 1").join(contexts.where("t > s"), "c").select("part", "c", "w", "n", "s", F.lit(0).cast("long").alias("ts"), "t"))
-    tables = None  # of contexts; at first they stand in the state
-    fixed, varied = words.where("not varied").select("word", "n", "found", "asked"), stages.keep(words.where("varied").select("word", "n", "found", "asked", "w"))
-    lone = stages.keep(by_leaf.join(varied.select("w"), "w", "left_semi").where("dishes > 0").select("w", "leaf", F.col("lone").alias("t")))
-    customers = np.zeros(LEAVES)
-    singles = np.zeros(LEAVES)
-    for r in by_leaf.groupBy("leaf").agg(F.sum("dishes").alias("t"), F.sum("lone").alias("s")).collect():
-        customers[r["leaf"]], singles[r["leaf"]] = r["t"], r["s"]
+    pairs = [stages.keep(grouped(X.lean_group(_combined()), windows.mapInArrow(_paired(buckets, hot, i), _MESSAGE))) for i in range(PASSES)]
+    state = stages.keep(every(pairs).mapInArrow(_begun(shares, hot), _MESSAGE))
+    sums = added(state)
+    hot_place = np.flatnonzero(sums["dishes"])
+    hot_words_seen, hot_at = np.unique(hot_place // LEAVES, return_inverse=True)
+    hot_upper = hot[hot_words_seen], hot_at, hot_place % LEAVES, sums["dishes"][hot_place].astype(np.int64)
+    hot_seats, hot_later = _seats(*hot_upper), []
+    train, size = int(sums["corpus"][0]), int(sums["corpus"][1]) + len(hot_words_seen)
+    hot_count = sums["count"].astype(np.int64)
+    hot_lone = sums["lone"][hot_place]
+    few = [[(x == k).sum() for k in (1, 2)] for x in (hot_upper[3], np.bincount(hot_at))]
+    d0, of_leaves, of_words = (discount(*(a + b for a, b in zip(sums["corpus"][i : i + 2].tolist(), x, strict=True))) for i, x in ((2, [0, 0]), (4, few[0]), (6, few[1])))
+    answer = told(state)
     history: list[Totals] = []
-    by_sweep: list[str] = []
     for number in range(SWEEPS + 1):
-        upper = [fixed.select("word", "n", "found"), varied.select("word", "n", "found", *by_sweep)]
-        sums = every([u.mapInArrow(_swept(history), "place int, tables double") for u in upper]).groupBy("place").agg(F.sum("tables").alias("tables")).collect()
-        t = np.zeros(LEAVES + MIDDLES + 1)
-        for r in sums:
-            t[r["place"]] = r["tables"]
-        history.append(Totals(customers, t[:LEAVES], t[LEAVES:-1], t[-1], discounts, size))
+        t = sums["tables"] + hot_seats.sums()
+        customers = sums["customers"] + np.bincount(hot_seats.leaf, hot_seats.c1, minlength=LEAVES)
+        history.append(Totals(customers, t[:LEAVES], t[LEAVES:-1], t[-1], (of_leaves, of_words), size))
         if number == SWEEPS:
             break
-        parents = upper[1].mapInArrow(_parents(history), "word binary, leaf long, p double").select(F.col("word").cast("string").cast("long").alias("w"), "leaf", "p")
-        given = state if tables is None else state.drop("t").join(tables, "c")
-        given = given.withColumn("leaf", leaf).join(parents, ["w", "leaf"]).select("part", "c", "w", "n", "s", "ts", "t", "p")
-        after = stages.keep(given.mapInArrow(_reseated(d0, number), "part int, c long, w long, n long, s long, ts long, t long"))
-        stages.drop(state)
-        state, tables = after, after.groupBy("c").agg((F.first("s") + F.sum("t")).alias("t"))
-        in_leaves = state.groupBy("w", leaf).agg(F.sum("t").alias("t")).unionByName(lone).groupBy("w", "leaf").agg(F.sum("t").alias("t"))
-        lists = in_leaves.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("leaf", "t"))).alias("x")).select("w", F.col("x.t").alias(f"c{number}"))
-        by_sweep.append(f"c{number}")
-        after = stages.keep(varied.join(lists, "w").select("word", "n", "found", "asked", "w", *by_sweep))
-        stages.drop(varied)
-        varied, customers = after, singles.copy()
-        for r in state.groupBy(leaf).agg(F.sum("t").alias("t")).collect():
-            customers[r["leaf"]] += r["t"]
+        hot_p = np.zeros(len(hot) * LEAVES)
+        hot_p[hot_place] = hot_seats.in_leaf(history[-1])
+        after = stages.keep(grouped(X.lean_group(_swept_bucket(history[-1], d0, number, shares, hot, hot_p)), of(state, "state"), answer))
+        stages.drop(answer, state)
+        state, sums = after, added(after)
+        hot_later.append((hot_lone + sums["seated"][hot_place]).astype(np.int64))
+        hot_seats.later = [None] * number + [hot_later[-1].astype(np.float64)]
+        hot_seats.sweep(history[-1], number)
+        if number < SWEEPS - 1:
+            answer = told(state)
 
     predictive = Predictive(history[-KEPT:])
-    answers = every([u.mapInArrow(_answers(history, predictive), "word binary, leaf long, known long, p double") for u in (fixed, varied.drop("w"))])
-    answers = stages.keep(answers.select(F.col("word").cast("string").cast("long").alias("w"), "leaf", "known", "p"))
-    lone_pairs = all_pairs.where("n < 2").select("part", "c", "w", "n", (F.col("n") * KEPT).alias("ts"))
-    seated = lone_pairs.unionByName(state.select("part", "c", "w", "n", "ts"))
-    contexts = stages.keep(seated.groupBy("c").agg(F.sum("n").alias("customers"), F.sum("ts").alias("tables")))
-    stages.drop(words, by_leaf, lone, varied)
-    scored = []
-    for i in range(PASSES):
-        mine = pairs[i].where("n < 2").select("c", "w", "n", (F.col("n") * KEPT).alias("ts")).unionByName(state.where(F.col("part") == i).select("c", "w", "n", "ts"))
-        met = mine.join(contexts, "c").withColumn("leaf", leaf).join(answers, ["w", "leaf"], "left").select("c", "w", "n", "ts", "customers", "tables", "known", "p")
-        scored.append(stages.keep(met.mapInArrow(_pair_scores(predictive, d0, train, size), "c long, w long, n long, known int, base double, score double")))
-        stages.drop(pairs[i])
-    stages.drop(contexts, answers, state)
-    hot = spark.sparkContext.broadcast(_hot(every(scored), hot_words))
-    sums = []
-    for i in range(PASSES):
-        laid = rows.select("row", "doc_id", "text").mapInArrow(_laid_out(i, hot), _SUMS)
-        other = scored[i].select("c", "w", F.col("known").alias("k"), F.col("base").alias("b"), F.col("score").alias("s"))
-        met = laid.join(other, ["c", "w"], "left").na.fill(0, ["k", "b", "s"])
-        sums.append(stages.keep(met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("n_tokens")).alias("n_tokens"), F.sum(F.col("n_known") + F.col("k")).alias("n_known"), F.sum(F.col("base") + F.col("b")).alias("base"), F.sum(F.col("score") + F.col("s")).alias("score"))))
-        stages.drop(scored[i])
-    hot.unpersist()
-    out = every(sums).groupBy("row").agg(*[f(c).alias(c) for f, c in ((F.max, "doc_id"), (F.sum, "n_tokens"), (F.sum, "n_known"), (F.sum, "base"), (F.sum, "score"))])
-    return out.select(
-        "doc_id",
-        held_out.alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(train).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        "score",
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
-    )
+    hot_log = np.repeat(predictive.log10_unknown()[None], len(hot), axis=0)
+    if len(hot_words_seen):
+        (model,) = _learnt(history)(iter([_upper(*hot_upper, hot_later)]))
+        hot_log[hot_words_seen] = _probabilities(predictive, [model.column(x) for x in range(2, 7)])
+    seated = of(state, "state")
+    answer = told(every(pairs).unionByName(seated).mapInArrow(_last_asked(shares), _MESSAGE))
+    scores = []
+    for i in range(2 * PASSES):
+        mine = every([pairs[i % PASSES], seated, answer]).where(F.col("part") % (2 * PASSES) == i)
+        scores.append(stages.keep(grouped(X.lean_group(_scored(history, d0, hot, hot_log, hot_count)), mine)))
+        if i >= PASSES:
+            stages.drop(pairs[i - PASSES])
+    stages.drop(state, answer)
+    columns = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = stages.keep(grouped(X.lean_group(_texts_scored(buckets, hot, train, size)), windows, *scores, schema=columns))
+    stages.drop(with_top, *scores)
+    return out, train

@@ -327,3 +327,37 @@ def test_most_frequent_has_no_clamp(spark, limit):
     assert sorted(r.w for r in most_frequent(counted, limit, F.xxhash64("w")).collect()) == sorted([*range(12)][-limit:] + [99] * (limit == 13))
     same = spark.range(1000).select(F.col("id").alias("w"), F.lit(1 << 40).alias("n"))
     assert 200 < most_frequent(same, 500, F.xxhash64("w")).count() <= 500
+
+
+def test_language_model_keeps_pairs_packed(spark, monkeypatch):
+    """Scores do not hang on which words are hot, and no step writes a row for each pair."""
+    from holdfast.llm._stage import Stages
+
+    texts = [(i, " ".join(f"w{RNG.choice((int(RNG.paretovariate(0.5)) % 100, RNG.randrange(20000)))}" for _ in range(400))) for i in range(300)]
+    pairs = {p for _, t in texts for p in zip(["", *t.split()], [*t.split(), ""], strict=True)}
+    given, kept, keep = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), [], Stages.keep
+    want = {r.doc_id: r.score for r in pitman_yor.score_texts(spark, given, hot_words=0).collect()}
+
+    def counted(self, df, *more):
+        out = keep(self, df, *more)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(Stages, "keep", counted)
+    for hot in (3, 100_000):
+        got = {r.doc_id: r.score for r in pitman_yor.score_texts(spark, given, hot_words=hot).collect()}
+        assert got == pytest.approx(want)
+        if hot == 3:
+            assert max(kept) < len(pairs) / 5
+
+
+def test_sorting_by_packed_numbers():
+    """Keys with their places in one number, or too wide for that."""
+    rng = np.random.default_rng(2)
+    for below in (7, 1 << 62):
+        given = rng.integers(0, below, 1000)
+        keys, order, first = pitman_yor._grouped(given, below)
+        assert (keys == np.sort(given)).all() and (given[order] == keys).all() and list(keys[first]) == sorted(set(given.tolist()))
+    arrays = [np.array([], np.int64), np.array([-1, 300]), np.array([1 << 63], np.uint64), np.array([0.5], np.float32)]
+    for a, b in zip(arrays, pitman_yor._unpack(pitman_yor._pack(*arrays)), strict=True):
+        assert a.tolist() == b.tolist()
