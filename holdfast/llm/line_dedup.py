@@ -36,6 +36,8 @@ from holdfast.llm._stage import Stages
 
 #: Counters of token occurrences; parts of the tokens, joined one after another.
 COUNTERS, PASSES = 1 << 18, 2
+#: Parts of the codes in the last round, in which each entry has its line's whole set beside it.
+SET_PASSES = 4
 
 #: A token of this level (occurrences as a power of 1.25) or more has rounds of its own, the next one as long as one finds so many lines.
 HOT_LEVEL, SOME = 28, 64
@@ -184,14 +186,23 @@ def _similar(stages: Stages, distinct: DataFrame, pairs: DataFrame, percent: int
 def _others(stages: Stages, distinct: DataFrame, coded: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """at of the lines of open_ that are similar to any earlier line: full sets are compared within the join, true ones alone leave it."""
     asking = stages.keep(_entries(coded.join(open_.hint("merge"), "at", "left_semi")))
-    members = stages.keep(_entries(coded).join(asking.select("code").distinct().hint("merge"), "code", "left_semi"))
-    sets = _sets(stages, distinct, members.select("at"))
-    x = _side(asking, "x").join(sets.select(F.col("at").alias("x_at"), F.col("tokens").alias("s")).hint("merge"), "x_at")
-    y = _side(members, "y").join(sets.select(F.col("at").alias("y_at"), F.col("tokens").alias("t")).hint("merge"), "y_at")
-    true = x.join(y.hint("merge"), "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent) & _similar_sets(percent))
-    out = stages.keep(true.select(F.col("x_at").alias("at")).distinct())
-    stages.drop(asking, members, sets)
-    return out
+    # Earlier lines that may be similar to one that asks: of these alone are the sets needed.
+    met = _side(asking, "x").join(_side(_entries(coded), "y").hint("merge"), "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent))
+    near = stages.keep(met.select(F.col("y_at").alias("at")).distinct())
+    members = stages.keep(_entries(coded.join(near.hint("merge"), "at", "left_semi")).join(asking.select("code").distinct().hint("merge"), "code", "left_semi"))
+    sets = _sets(stages, distinct, near.unionByName(asking.select("at")))
+    # Each entry takes its line's whole set along: one part of the codes at a time, and in each only lines that no part before has found.
+    found = None
+    for i in range(SET_PASSES):
+        mine = F.pmod(F.col("code"), F.lit(SET_PASSES)) == i
+        still = asking.where(mine) if found is None else asking.where(mine).join(found.hint("merge"), "at", "left_anti")
+        x = _side(still, "x").join(sets.select(F.col("at").alias("x_at"), F.col("tokens").alias("s")).hint("merge"), "x_at")
+        y = _side(members.where(mine), "y").join(sets.select(F.col("at").alias("y_at"), F.col("tokens").alias("t")).hint("merge"), "y_at")
+        true = x.join(y.hint("merge"), "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent) & _similar_sets(percent))
+        newly = stages.keep(true.select(F.col("x_at").alias("at")).distinct())
+        found = newly if found is None else found.unionByName(newly)
+    stages.drop(asking, near, members, sets)
+    return found
 
 
 def _by_heads(stages: Stages, distinct: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
@@ -255,6 +266,9 @@ def _removed(spark: SparkSession, numbered: DataFrame, percent: int) -> DataFram
     stages = Stages(spark, "lines")
     lines = _lines(stages, numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     distinct = stages.keep(lines.where("worded").groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first("line").alias("line")))
+    # The text of a line stands in one table only while lines are compared.
+    whole, lines = lines, stages.keep(lines.drop("line"))
+    stages.drop(whole)
     gone = _gone(stages, distinct, percent).withColumn("gone", F.lit(True))
     # Only classes of which something goes meet the lines again.
     marked = distinct.select("h1", "h2", F.col("at").alias("first"), "copies").join(gone.withColumnRenamed("at", "first").hint("merge"), "first", "left").where("gone or copies > 1")

@@ -361,3 +361,47 @@ def test_sorting_by_packed_numbers():
     arrays = [np.array([], np.int64), np.array([-1, 300]), np.array([1 << 63], np.uint64), np.array([0.5], np.float32)]
     for a, b in zip(arrays, pitman_yor._unpack(pitman_yor._pack(*arrays)), strict=True):
         assert a.tolist() == b.tolist()
+
+
+def test_text_of_lines_stands_in_one_table(spark, monkeypatch):
+    """While lines are compared; and the last round, in parts, finds by itself all that are similar to two earlier lines."""
+    from holdfast.llm import line_dedup
+    from holdfast.llm._stage import Stages
+
+    held, asked, keep, drop, gone, others = {}, [], Stages.keep, Stages.drop, line_dedup._gone, line_dedup._others
+
+    def kept(self, df, *more):
+        out = keep(self, df, *more)
+        held[id(out)] = out
+        return out
+
+    def dropped(self, *frames):
+        drop(self, *frames)
+        for f in frames:
+            held.pop(id(f))
+
+    def compared(*given):
+        assert sum("line" in f.columns for f in held.values()) == 1
+        return gone(*given)
+
+    def none(stages, distinct, pairs, percent):
+        return stages.keep(pairs.select(F.col("later").alias("at")).where("false"))
+
+    def last(*given):
+        asked.append(1)
+        return others(*given)
+
+    for of, name, new in ((Stages, "keep", kept), (Stages, "drop", dropped), (line_dedup, "_gone", compared), (line_dedup, "_similar", none), (line_dedup, "_others", last)):
+        monkeypatch.setattr(of, name, new)
+    lines, sets = [], []
+    while len(lines) < 300:
+        old = RNG.choice(lines).split() if lines and RNG.random() < 0.7 else RNG.sample([f"v{i}" for i in range(60)], RNG.randint(5, 12))
+        words = [w for w in old if RNG.random() < 0.9] + RNG.sample([f"v{i}" for i in range(60)], RNG.randint(0, 1))
+        if words and set(words) not in sets:
+            lines.append(" ".join(words))
+            sets.append(set(words))
+    before = [sum(5 * len(x & y) >= 4 * len(x | y) for y in sets[:i]) for i, x in enumerate(sets)]
+    got = removed_lines(spark, spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)).collect()
+    removed = {r.doc_id for r in got if r.n_removed}
+    assert asked and {i for i, n in enumerate(before) if n > 1} <= removed <= {i for i, n in enumerate(before) if n}
+    assert any(n > 1 for n in before)
