@@ -2,9 +2,9 @@
 
 Lines are cut at newlines and tokenised into lower-cased words; equal lines are one
 class, which its first line stands for.  Tokens are ordered by rarity: each one's
-hash leads to one of COUNTERS counters of all tokens' occurrences, a table of fixed
-size that goes to every task.  The order is the same for every line, so that it
-decides about cost alone.
+hash leads to one of COUNTERS counters of all tokens' occurrences, eight in a number
+of a table of fixed size that goes to every task.  The order is the same for every
+line, so that it decides about cost alone.
 
 With tokens in that order, two sets of Jaccard similarity t or more share a token
 among the first n - ceil(t n) + 1 of the larger one and the first n -
@@ -14,34 +14,39 @@ pairs within the join, the rest is verified on the full sets.
 
 A line goes if an earlier line (by key and place) is similar, whether or not that
 one stays, so that one earlier partner is enough.  A first round compares each line
-with the earliest lines of three tokens of its prefix alone: the rarest, and the last
-two, which near copies share where the rarest are their own.  What it finds asks no
-more.  Tokens of many lines then have rounds of their own: each line that still asks
+with the earliest lines of the last two tokens of its prefix alone, which near copies
+share where the rarest are their own.  What it finds asks no more.  Tokens of many lines then have rounds of their own: each line that still asks
 meets the earliest such line of each, as long as a round finds some.  The next round
 compares what still asks with all that share a token, and gives on the likeliest
 partner of each line alone, combined where the join finds it.  Lines whose likeliest
 partner is not similar, though there are others, meet these in a last round that
 checks the full sets within the join, and gives on the lines that go.  No round writes
 all pairs of a group.
+
+Where a step needs the rows of some lines or tokens alone, a filter of bounded size,
+made of their hashes, keeps most others out of the join that decides.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm._stage import Stages
 
-#: Counters of token occurrences; parts of the tokens, joined one after another.
-COUNTERS, PASSES = 1 << 18, 2
+#: Numbers in a table that goes to every task, at most; counters of token occurrences, eight in one of them; parts of the tokens, joined one after another.
+TABLE, COUNTERS, PASSES = 1 << 18, 1 << 21, 2
 #: Parts of the codes in the last round, in which each entry has its line's whole set beside it.
 SET_PASSES = 4
+#: Pairs that the last round may write for each distinct line; beyond, it has the sets beside the entries instead.
+PAIRS = 1
 
-#: A token of this level (occurrences as a power of 1.25) or more has rounds of its own, the next one as long as one finds so many lines.
-HOT_LEVEL, SOME = 28, 64
-_SEGMENT = 4096
+#: A token of this level (occurrences as a power of 1.25) or more, and of so many times the mean counter, has rounds of its own, the next one as long as one finds so many lines, and the root of all lines.
+HOT_LEVEL, HOT_MEANS, SOME = 28, 4, 64
 
 
 def _plain(text: Column) -> Column:
@@ -80,27 +85,66 @@ def _lines(stages: Stages, docs: DataFrame) -> DataFrame:
     return stages.keep(lines.select(F.monotonically_increasing_id().alias("at"), "row", "doc_id", "line_no", worded.alias("worded"), *names, F.when(worded, F.col("line")).alias("line")))
 
 
-def _counter(token: Column) -> Column:
-    return token.bitwiseAND(COUNTERS - 1)
+def _level(count: Column) -> Column:
+    return F.least(F.lit(93), F.floor(F.log(F.greatest(count, F.lit(1))) / F.log(F.lit(1.25)))).cast("long")
 
 
-def _levels(stages: Stages, distinct: DataFrame) -> Column:
-    """For each counter the logarithm of its tokens' occurrences: an array that is folded into one literal."""
-    words = distinct.select(F.explode(_words(F.col("line"))).alias("w")).where("w <> ''")
-    sums = words.groupBy(_counter(F.xxhash64("w")).alias("id")).count()
-    level = F.least(F.lit(93), F.floor(F.log(F.coalesce("count", F.lit(1))) / F.log(F.lit(1.25)))).cast("string")
-    every = stages.spark.range(COUNTERS).join(sums, "id", "left").select("id", level.alias("c"))
-    rows = every.groupBy(F.floor(F.col("id") / _SEGMENT).alias("segment")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda x: x["c"]), ",").alias("levels"))
+def _shifted(way: str, number: Column, bits: Column) -> Column:
+    return F.call_function(way, number, bits.cast("int"))
+
+
+def _table(stages: Stages, numbers: DataFrame, size: int) -> Column:
+    """Of rows (id, number) with ids below size an array that is folded into one literal; 0 where there is none."""
+    every = ["0"] * size
+    parts = numbers.groupBy(F.shiftright("id", 12).alias("segment")).agg(F.concat_ws(" ", F.collect_list(F.concat_ws(":", "id", "number"))).alias("held"))
     with stages.clean():
-        return F.split(F.lit(",".join(r["levels"] for r in rows.orderBy("segment").collect())), ",").cast("array<bigint>")
+        for r in parts.collect():
+            for pair in r["held"].split(" "):
+                i, number = pair.split(":")
+                every[int(i)] = number
+    return F.split(F.lit(",".join(every)), ",").cast("array<bigint>")
+
+
+def _among(stages: Stages, values: DataFrame) -> Callable[[Column], Column]:
+    """For a column of numbers whether each may be among the values: all of these may, of others few, unless the values are far more than the bits."""
+    value = F.col(values.columns[0])
+    size = min(TABLE, max(64, 1 << (values.count() >> 2).bit_length()))  # 16 bits a value or more
+
+    def slot(value: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(value), 6).bitwiseAND(size - 1)
+
+    def bit(value: Column) -> Column:
+        return _shifted("shiftleft", F.lit(1).cast("long"), F.xxhash64(value).bitwiseAND(63))
+
+    held = _table(stages, values.groupBy(slot(value).alias("id")).agg(F.bit_or(bit(value)).alias("number")), size)
+    return lambda column: F.get(held, slot(column)).bitwiseAND(bit(column)) != 0
+
+
+def _only(rows: DataFrame, wanted: DataFrame, may: Callable[[Column], Column], on: str = "at") -> DataFrame:
+    """The rows whose value is among the wanted ones, of which may is the filter."""
+    return rows.where(may(F.col(on))).join(wanted.distinct().hint("merge"), on, "left_semi")
+
+
+def _levels(stages: Stages, distinct: DataFrame) -> tuple[Column, int]:
+    """For each counter the logarithm of its tokens' occurrences, eight in a number; the level from which a token is frequent."""
+    words = distinct.select(F.explode(_words(F.col("line"))).alias("w")).where("w <> ''")
+    sums = stages.keep(words.groupBy(F.xxhash64("w").bitwiseAND(COUNTERS - 1).alias("counter")).count())
+    lane = F.shiftright("counter", (TABLE - 1).bit_length()) * 8
+    numbers = sums.groupBy(F.col("counter").bitwiseAND(TABLE - 1).alias("id")).agg(F.bit_or(_shifted("shiftleft", _level(F.col("count")), lane)).alias("number"))
+    levels = _table(stages, numbers, TABLE)
+    total = sums.groupBy().sum("count").first()[0] or 0
+    stages.drop(sums)
+    return levels, max(HOT_LEVEL, math.ceil(math.log(max(1, HOT_MEANS * total / COUNTERS), 1.25)))
 
 
-def _coded(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
-    """(at, n, low, high, prefix): 128 parity bits of the token set; codes of its rarest tokens, by rarity."""
-    levels = _levels(stages, distinct)
+def _coded(stages: Stages, distinct: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """(at, n, low, high, prefix): 128 parity bits of the token set; codes of its rarest tokens, by rarity.  The level from which these are frequent."""
+    levels, frequent = _levels(stages, distinct)
 
     def code(token: Column) -> Column:
-        return F.shiftleft(F.get(levels, _counter(token)), 56).bitwiseOR(F.shiftrightunsigned(token, 8))
+        lane = F.shiftright(token, (TABLE - 1).bit_length() - 3).bitwiseAND(56)
+        level = _shifted("shiftright", F.get(levels, token.bitwiseAND(TABLE - 1)), lane).bitwiseAND(127)
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(token, 8))
 
     coded = distinct.select("at", F.sort_array(F.transform(_tokens(F.col("line")), code)).alias("codes")).withColumn("n", F.size("codes"))
     powers, none = [1 << i if i < 63 else -(1 << 63) for i in range(64)], [0] * 64
@@ -110,7 +154,7 @@ def _coded(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
         return F.aggregate("codes", F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(F.get(powers, c.bitwiseAND(127))))
 
     bits = parity(low).alias("low"), parity(high).alias("high")
-    return stages.keep(coded.select("at", "n", *bits, F.slice("codes", F.lit(1), F.col("n") - _least_shared(percent, F.col("n")) + 1).alias("prefix")))
+    return stages.keep(coded.select("at", "n", *bits, F.slice("codes", F.lit(1), F.col("n") - _least_shared(percent, F.col("n")) + 1).alias("prefix"))), frequent
 
 
 def _fields(side: str, packed: bool) -> dict[str, Column]:
@@ -139,9 +183,24 @@ def _unlike() -> Column:
 def _asked(percent: int) -> Column:
     """Each two once, x the larger set, the token in the shorter prefix of y, and no partner known of the later one."""
     x, y = (_fields(s, True) for s in "xy")
-    ordered = (x["n"] > y["n"]) | ((x["n"] == y["n"]) & (x["at"] > y["at"]))
     open_ = F.when(x["at"] > y["at"], x["asks"]).otherwise(y["asks"]) == 1
-    return ordered & (y["place"] <= y["n"] - _least_shared_smaller(percent, y["n"])) & open_
+    return _larger(x, y) & _in_shorter(percent, y) & open_
+
+
+def _larger(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Whether x is the larger set, or the later one of two of one size."""
+    return (x["n"] > y["n"]) | ((x["n"] == y["n"]) & (x["at"] > y["at"]))
+
+
+def _in_shorter(percent: int, y: dict[str, Column]) -> Column:
+    """Whether the token is in the prefix that a set needs towards larger ones."""
+    return y["place"] <= y["n"] - _least_shared_smaller(percent, y["n"])
+
+
+def _meets(percent: int) -> Column:
+    """Of x that asks and y that share the token: y is earlier, and the two meet as in _asked."""
+    x, y = (_fields(s, False) for s in "xy")
+    return (y["at"] < x["at"]) & F.when(_larger(x, y), _in_shorter(percent, y)).otherwise(_in_shorter(percent, x)) & _may_be_similar(percent)
 
 
 def _entries(coded: DataFrame) -> DataFrame:
@@ -154,9 +213,9 @@ def _side(entries: DataFrame, side: str) -> DataFrame:
 
 
 def _candidate(found: DataFrame) -> DataFrame:
-    """(later, best, worst): of all pairs of each later line those that differ in the fewest and the most parity bits, with these bits above bit 56 of the earlier line's place."""
+    """(later, best, worst, met): of all pairs of each later line those that differ in the fewest and the most parity bits, with these bits above bit 56 of the earlier line's place; how often it met one."""
     key = F.shiftleft(F.least(_unlike(), F.lit(127)).cast("long"), 56).bitwiseOR(F.least("x_at", "y_at"))
-    return found.select(F.greatest("x_at", "y_at").alias("later"), key.alias("best")).groupBy("later").agg(F.min("best").alias("best"), F.max("best").alias("worst"))
+    return found.select(F.greatest("x_at", "y_at").alias("later"), key.alias("best")).groupBy("later").agg(F.min("best").alias("best"), F.max("best").alias("worst"), F.count("*").alias("met"))
 
 
 def _partner(best: Column) -> Column:
@@ -164,7 +223,8 @@ def _partner(best: Column) -> Column:
 
 
 def _sets(stages: Stages, distinct: DataFrame, at: DataFrame) -> DataFrame:
-    return stages.keep(distinct.join(at.distinct().hint("merge"), "at", "left_semi").select("at", _tokens(F.col("line")).alias("tokens")))
+    at = at.distinct()
+    return stages.keep(_only(distinct.select("at", "line"), at, _among(stages, at)).select("at", _tokens(F.col("line")).alias("tokens")))
 
 
 def _similar_sets(percent: int) -> Column:
@@ -174,22 +234,41 @@ def _similar_sets(percent: int) -> Column:
 
 def _similar(stages: Stages, distinct: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """at of the later ones of pairs (later, earlier), one of each later line, whose full sets are similar."""
+    return _verified(stages, distinct, pairs, percent)
+
+
+def _verified(stages: Stages, distinct: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """at of the later ones of a written table of pairs (later, earlier) whose full sets are similar."""
     sets = _sets(stages, distinct, pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")))
     one = sets.select(F.col("at").alias("later"), F.col("tokens").alias("s"), F.size("tokens").alias("x_n"))
     two = sets.select(F.col("at").alias("earlier"), F.col("tokens").alias("t"), F.size("tokens").alias("y_n"))
     wide = pairs.join(one.hint("merge"), "later").join(two.hint("merge"), "earlier")
-    out = stages.keep(wide.where(_similar_sets(percent)).select(F.col("later").alias("at")))
+    out = stages.keep(wide.where(_similar_sets(percent)).select(F.col("later").alias("at")).distinct())
     stages.drop(sets)
     return out
 
 
 def _others(stages: Stages, distinct: DataFrame, coded: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """at of the lines of open_ that are similar to any earlier line: full sets are compared within the join, true ones alone leave it."""
-    asking = stages.keep(_entries(coded.join(open_.hint("merge"), "at", "left_semi")))
+    """at of the lines of open_ (at, met) that are similar to any earlier line.
+
+    Where all of them together meet no more than PAIRS times the number of lines,
+    these pairs are written; else full sets are compared within the join, true
+    ones alone leave it.
+    """
+    few = (open_.groupBy().sum("met").first()[0] or 0) <= PAIRS * distinct.count()
+    open_ = open_.select("at")
+    asking = stages.keep(_entries(_only(coded, open_, _among(stages, open_))))
+    codes = asking.select("code").distinct()
+    shared = _among(stages, codes)
+    met = _side(asking, "x").join(_side(_entries(coded).where(shared(F.col("code"))), "y").hint("merge"), "code").where(_meets(percent))
+    if few:
+        pairs = stages.keep(met.select(F.col("x_at").alias("later"), F.col("y_at").alias("earlier")).distinct())
+        out = _verified(stages, distinct, pairs, percent)
+        stages.drop(asking, pairs)
+        return out
     # Earlier lines that may be similar to one that asks: of these alone are the sets needed.
-    met = _side(asking, "x").join(_side(_entries(coded), "y").hint("merge"), "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent))
     near = stages.keep(met.select(F.col("y_at").alias("at")).distinct())
-    members = stages.keep(_entries(coded.join(near.hint("merge"), "at", "left_semi")).join(asking.select("code").distinct().hint("merge"), "code", "left_semi"))
+    members = stages.keep(_only(_entries(_only(coded, near, _among(stages, near))), codes, shared, "code"))
     sets = _sets(stages, distinct, near.unionByName(asking.select("at")))
     # Each entry takes its line's whole set along: one part of the codes at a time, and in each only lines that no part before has found.
     found = None
@@ -198,38 +277,46 @@ def _others(stages: Stages, distinct: DataFrame, coded: DataFrame, open_: DataFr
         still = asking.where(mine) if found is None else asking.where(mine).join(found.hint("merge"), "at", "left_anti")
         x = _side(still, "x").join(sets.select(F.col("at").alias("x_at"), F.col("tokens").alias("s")).hint("merge"), "x_at")
         y = _side(members.where(mine), "y").join(sets.select(F.col("at").alias("y_at"), F.col("tokens").alias("t")).hint("merge"), "y_at")
-        true = x.join(y.hint("merge"), "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent) & _similar_sets(percent))
+        true = x.join(y.hint("merge"), "code").where(_meets(percent) & _similar_sets(percent))
         newly = stages.keep(true.select(F.col("x_at").alias("at")).distinct())
         found = newly if found is None else found.unionByName(newly)
     stages.drop(asking, near, members, sets)
     return found
 
 
-def _by_heads(stages: Stages, distinct: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
-    """at of lines that are similar to the earliest line of one of their tokens: of those that may be, the likeliest is tried."""
+def _by_heads(stages: Stages, distinct: DataFrame, entries: DataFrame, percent: int, least: int = 1) -> DataFrame | None:
+    """at of lines that are similar to the earliest line of one of their tokens: of those that may be, the likeliest is tried.  None where fewer lines than the least may be similar."""
     head = entries.groupBy("code").agg(F.min("at").alias("y_at"), *[F.min_by(c, "at").alias(f"y_{c}") for c in ("n", "place", "low", "high")])
     near = _side(entries, "x").join(head, "code").where((F.col("y_at") < F.col("x_at")) & _may_be_similar(percent))
     pairs = stages.keep(_candidate(near).select("later", _partner(F.col("best")).alias("earlier")))
-    out = _similar(stages, distinct, pairs, percent)
+    out = _similar(stages, distinct, pairs, percent) if least <= 1 or pairs.count() >= least else None
     stages.drop(pairs)
     return out
 
 
 def _gone(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
     """at of the distinct lines that are similar to an earlier one."""
-    coded = _coded(stages, distinct, percent)
-    # First round: the earliest line of each of three tokens.
-    few = _entries(coded.withColumn("last", F.size("prefix") - 2)).where("place = 0 or place >= last").drop("last")
+    coded, frequent = _coded(stages, distinct, percent)
+    # First round: the earliest line of each of two tokens.
+    few = _entries(coded.withColumn("last", F.size("prefix") - 2)).where("place >= last").drop("last")
     found = _by_heads(stages, distinct, few, percent)
     # Rounds of frequent tokens.
-    hot = stages.keep(_entries(coded).where(F.shiftright("code", 56) >= HOT_LEVEL))
-    more = SOME
-    while more >= SOME:
-        newly = _by_heads(stages, distinct, hot.join(found.hint("merge"), "at", "left_anti"), percent)
+    hot = stages.keep(_entries(coded).where(F.shiftright("code", 56) >= frequent))
+    # A group of fewer lines than the root of all makes fewer pairs than there are lines.
+    some = max(SOME, math.isqrt(distinct.count()))
+    more, known = some, _among(stages, found)
+    while more >= some:
+        # Only lines that the filter lets through are looked up among those found.
+        asking, looked_up = hot.where(~known(F.col("at"))), hot.where(known(F.col("at")))
+        newly = _by_heads(stages, distinct, asking.unionByName(looked_up.join(found.hint("merge"), "at", "left_anti")), percent, some)
+        if newly is None:  # what few lines would ask is left to the next round
+            break
         more, found = newly.count(), found.unionByName(newly)
-    # Then all others: x is the larger set, or the later one of two of one size; both sides are one shuffle.
-    asks = stages.keep(coded.join(found.withColumn("found", F.lit(True)).hint("merge"), "at", "left").withColumn("asks", F.col("found").isNull().cast("long")).drop("found"))
-    stages.drop(coded, hot)
+        known = _among(stages, found)
+    # Then all others: x is the larger set, or the later one of two of one size.
+    looked_up = coded.where(known(F.col("at"))).join(found.withColumn("found", F.lit(True)).hint("merge"), "at", "left").withColumn("asks", F.col("found").isNull().cast("long")).drop("found")
+    asks = coded.where(~known(F.col("at"))).withColumn("asks", F.lit(1).cast("long")).unionByName(looked_up)
+    stages.drop(hot)
     parts = []
     for i in range(PASSES):
         entries = _entries(asks).where(F.col("code") % PASSES == i)
@@ -237,16 +324,16 @@ def _gone(stages: Stages, distinct: DataFrame, percent: int) -> DataFrame:
         entries = entries.select("code", "at", "low", "high", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 1)).bitwiseOR(F.col("asks")).alias("m"))
         x, y = (_side(entries, s) for s in "xy")
         parts.append(stages.keep(_candidate(x.join(y.hint("merge"), "code").where(_asked(percent) & _may_be_similar(percent, packed=True)))))
-    best = functools.reduce(DataFrame.unionByName, parts).groupBy("later").agg(F.min("best").alias("best"), F.max("worst").alias("worst"))
-    best = stages.keep(best.select("later", _partner(F.col("best")).alias("earlier"), (F.col("best") != F.col("worst")).alias("others")))
+    best = functools.reduce(DataFrame.unionByName, parts).groupBy("later").agg(F.min("best").alias("best"), F.max("worst").alias("worst"), F.sum("met").alias("met"))
+    best = stages.keep(best.select("later", _partner(F.col("best")).alias("earlier"), (F.col("best") != F.col("worst")).alias("others"), "met"))
     stages.drop(*parts)
     more = _similar(stages, distinct, best.select("later", "earlier"), percent)
     # Those whose likeliest partner is not similar, but that have others.
-    open_ = stages.keep(best.where("others").select(F.col("later").alias("at")).join(more.hint("merge"), "at", "left_anti"))
+    open_ = stages.keep(best.where("others").select(F.col("later").alias("at"), "met").join(more.hint("merge"), "at", "left_anti"))
     gone = found.unionByName(more)
     if not open_.isEmpty():
-        gone = gone.unionByName(_others(stages, distinct, asks.drop("asks"), open_, percent))
-    stages.drop(best, asks, open_)
+        gone = gone.unionByName(_others(stages, distinct, coded, open_, percent))
+    stages.drop(best, coded, open_)
     return gone
 
 
@@ -271,8 +358,11 @@ def _removed(spark: SparkSession, numbered: DataFrame, percent: int) -> DataFram
     stages.drop(whole)
     gone = _gone(stages, distinct, percent).withColumn("gone", F.lit(True))
     # Only classes of which something goes meet the lines again.
-    marked = distinct.select("h1", "h2", F.col("at").alias("first"), "copies").join(gone.withColumnRenamed("at", "first").hint("merge"), "first", "left").where("gone or copies > 1")
-    out = lines.where("worded").select("row", "line_no", "at", "h1", "h2").join(marked.select("h1", "h2", "first", "gone").hint("merge"), ["h1", "h2"]).where("gone or at > first")
+    classes = distinct.select("h1", "h2", F.col("at").alias("first"), "copies").where((F.col("copies") > 1) | _among(stages, gone)(F.col("at")))
+    marked = classes.join(gone.withColumnRenamed("at", "first").hint("merge"), "first", "left").where("gone or copies > 1")
+    marked = stages.keep(marked.select("h1", "h2", "first", "gone"))
+    out = lines.where("worded").where(_among(stages, marked.select("h1"))(F.col("h1"))).select("row", "line_no", "at", "h1", "h2")
+    out = out.join(marked.hint("merge"), ["h1", "h2"]).where("gone or at > first")
     by_row = out.groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     rows = lines.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))

@@ -405,3 +405,46 @@ def test_text_of_lines_stands_in_one_table(spark, monkeypatch):
     removed = {r.doc_id for r in got if r.n_removed}
     assert asked and {i for i, n in enumerate(before) if n > 1} <= removed <= {i for i, n in enumerate(before) if n}
     assert any(n > 1 for n in before)
+
+
+def test_rare_words_of_a_full_counter_are_not_frequent(spark, monkeypatch):
+    """Words that share a counter with many others alone have no rounds of their own, and the last round finds the same in both its ways."""
+    from holdfast.llm import line_dedup
+    from holdfast.llm._stage import Stages
+
+    frequent, keep, verified = [], Stages.keep, line_dedup._verified
+
+    def kept(self, df, *more):
+        out = keep(self, df, *more)
+        if {"at", "code", "low", "high"} <= set(df.columns):
+            frequent.append(out.count())
+        return out
+
+    words = [[f"{'ab'[j % 2]}{i}x{j}" for j in range(10)] for i in range(300)]
+    lines = [" ".join(w) for w in words] + [" ".join([*w[:9], f"own{i}"]) for i, w in enumerate(words[:40])]
+    given = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    with monkeypatch.context() as m:
+        for name, value in (("COUNTERS", 128), ("TABLE", 16), ("HOT_LEVEL", 5)):
+            m.setattr(line_dedup, name, value, raising=False)
+        m.setattr(Stages, "keep", kept)
+        assert {r.doc_id for r in removed_lines(spark, given).collect() if r.n_removed} == {*range(300, 340)}
+        assert frequent[0] == 0
+
+    asked = []
+
+    def none(stages, distinct, pairs, percent):
+        return stages.keep(pairs.select(F.col("later").alias("at")).where("false"))
+
+    def checked(*given):
+        asked.append(1)
+        return verified(*given)
+
+    base = [f"v{i}" for i in range(20)]
+    near = [" ".join(base[:i] + [f"u{i}"] + base[i + 1 :]) for i in range(12)]
+    given = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(line_dedup, "_similar", none)
+    monkeypatch.setattr(line_dedup, "_verified", checked)
+    for pairs in (0, 1000):
+        monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+        assert {r.doc_id for r in removed_lines(spark, given).collect() if r.n_removed} == {*range(2, 12)}
+        assert bool(asked) == (pairs > 0)
